@@ -45,7 +45,7 @@ def small_batches(spark: SparkSession, rows: int = 512, megabytes: int = 16) ->
 
 def words(text: Column) -> Column:
     """Array of the maximal runs of characters other than ASCII white space; NULL gives none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def ranked(df: DataFrame, of: list[str], by: list[str], name: str = "rank") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import SPACE, cut, words
+from scholium.llm.common import cut, words
 
 #: Characters that count as symbols, as a Java and RE2 character class body.
 SYMBOLS = "#*$%&|<>"
@@ -31,23 +31,23 @@ def _bind(value: Column, body) -> Column:
 def repeated_words(tokens: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the array, first included.
 
-    Windows are sorted with their places, equal neighbours keep their places, and the
-    places, sorted again, are united: each window covers up to three words until the next.
+    Windows are compared by 64-bit hashes of their words. Most texts have no repeated
+    window, which a hash set over primitive values shows; in the others windows are
+    sorted with their places, equal neighbours keep their places, and the places, sorted
+    again, are united: each window covers up to three words until the next.
     """
     n = F.size(tokens)
     windows = F.transform(
         F.slice(tokens, F.lit(1), F.greatest(n - 2, F.lit(0))),
-        lambda w, i: F.struct(
-            F.concat_ws(" ", w, F.get(tokens, i + 1), F.get(tokens, i + 2)).alias("w"), i.alias("i")
-        ),
+        lambda w, i: F.xxhash64(w, F.get(tokens, i + 1), F.get(tokens, i + 2)),
     )
 
     def twice(s: Column) -> Column:
         return F.transform(
             F.filter(
                 s,
-                lambda x, k: F.coalesce(x["w"] == F.get(s, k - 1)["w"], F.lit(False))
-                | F.coalesce(x["w"] == F.get(s, k + 1)["w"], F.lit(False)),
+                lambda x, k: F.coalesce(x["h"] == F.get(s, k - 1)["h"], F.lit(False))
+                | F.coalesce(x["h"] == F.get(s, k + 1)["h"], F.lit(False)),
             ),
             lambda x: x["i"],
         )
@@ -62,9 +62,13 @@ def repeated_words(tokens: Column) -> Column:
             lambda a: a["n"],
         )
 
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(
-        _bind(F.sort_array(_bind(F.sort_array(windows), twice)), united)
-    )
+    def counted(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
+            _bind(F.sort_array(_bind(placed, twice)), united)
+        )
+
+    return F.when(n < 4, F.lit(0).cast("long")).otherwise(_bind(windows, counted))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -78,7 +82,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return (
         docs.withColumn("_words", words(F.col(text)))
         .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(F.regexp_replace(t, SPACE, "")).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
         .withColumn("n_symbols", F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long"))
         .withColumn("n_dup_lines", _bind(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
         .withColumn("n_repeat_words", repeated_words(F.col("_words")))
