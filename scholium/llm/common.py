@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,15 +64,13 @@ def ranked(df: DataFrame, of: list[str], by: list[str], name: str = "rank") -> D
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_at", 33))
     )
-    runs = placed.groupBy(*of, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = W.partitionBy(*of).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = [placed[c].eqNullSafe(runs[c]) for c in (*of, "_part")]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    joined = placed.join(runs, on)
-    return joined.select(
-        *[placed[c] for c in df.columns],
-        (placed["_at"] - runs["_first"] + runs["_before"]).alias(name),
+    names = [*of, "_part"]
+    runs = placed.groupBy(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(names)]).agg(
+        F.min("_at").alias("_first"), F.count("*").alias("_n")
+    )
+    earlier = W.partitionBy(*[f"_of{i}" for i in range(len(of))]).orderBy(f"_of{len(of)}").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(names)]
+    return placed.join(runs, reduce(and_, same)).select(
+        *df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias(name)
     )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scholium.llm import quality_rules, url_filters
+from scholium.llm import bpe, packing, quality_rules, sharding, simhash, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,9 +23,45 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_read(spark, sf_dir, "pages"), url_filters.listed_hosts(spark))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents")).select(
+        F.col("key").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op7_byte_level_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).withColumnRenamed("key", "doc_id")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf_dir, "documents")).select(
+        F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    return packing.pack(_read(spark, sf_dir, "documents"), definition).withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_url_filters": op3_url_filters,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op7_byte_level_bpe": op7_byte_level_bpe,
+    "op8_sharding": op8_sharding,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL = {
