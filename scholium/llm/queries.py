@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import bpe, packing, quality_rules, sharding, simhash, suffix_dedup, url_filters
+from scholium.llm import (
+    ann,
+    bpe,
+    ngram_quality,
+    packing,
+    quality_rules,
+    sharding,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_filters,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +46,17 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.learn(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, chain).drop("text").withColumn("kept", ~F.col("toxic"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = ngram_quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return judged.withColumnRenamed("key", "doc_id")
+
+
 def op7_byte_level_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = f.read()
@@ -54,14 +76,21 @@ def op9_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> Da
     return packing.pack(_read(spark, sf_dir, "documents"), definition).withColumnRenamed("key", "doc_id")
 
 
+def op10_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_byte_level_bpe": op7_byte_level_bpe,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
+    "op10_approximate_nearest_neighbours": op10_approximate_nearest_neighbours,
 }
 
 ORACLE_SQL = {
