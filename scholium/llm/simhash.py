@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def _spanning(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that tie each component of a cell together, at most one for each member."""
-    rest = np.unique(fps)
+    rest = np.unique(fps).view(np.uint64)  # numpy counts the bits of a negative number's absolute value
     while len(rest):
         todo, rest = [rest[:1]], rest[1:]
         while todo and len(rest):
@@ -72,7 +72,7 @@ def _spanning(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.nda
                 near = np.bitwise_count(rest ^ x) <= radius
                 if near.any():
                     found, rest = rest[near], rest[~near]
-                    yield np.full(len(found), x), found
+                    yield np.full(len(found), x).view(np.int64), found.view(np.int64)
                     todo.append(found)
 
 
@@ -166,6 +166,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest key of their group; of repeated rows all or none."""
-    kept = near_duplicates(docs, key, text).where(F.col("key").eqNullSafe(F.col("component")))
-    return docs.join(kept.select(F.col("key").alias("_key")).distinct(), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    """One row of each group of near-duplicates: one with the group's smallest key.
+
+    Of several rows with that key, one stays. A group of NULL keys alone keeps one row.
+    """
+    near = near_duplicates(docs, key, text).where(F.col("key").eqNullSafe(F.col("component")))
+    kept = cut(near.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")))
+    out = docs.join(kept.select("_key"), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return out if kept.where("n > 1").isEmpty() else out.dropDuplicates([key])
