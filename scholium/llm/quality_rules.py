@@ -145,3 +145,18 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
         *keep, *cols, F.col("rate").alias("host_rate"),
         (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns.
+
+    Base rules are applied where a row is read, so that no text is shuffled; only the
+    rejected hosts are joined, by broadcast if Catalyst finds them few.
+    """
+    slim = docs.select(F.col(text).alias("_text"), F.col(host).alias("_host"))
+    hosts = host_rates(cut(measure(slim, "_text").select("_host", "base_failed")), "_host")
+    rejected = cut(hosts.where(~F.col("host_kept")).select(F.col("host").alias("_h")))
+    kept = docs.select("*", F.col(text).alias("_text"))
+    kept = measure(kept.select(F.struct(*docs.columns).alias("_row"), "_text"), "_text").where(~F.col("base_failed"))
+    kept = kept.select("_row.*")
+    return kept.join(rejected, kept[host].eqNullSafe(rejected["_h"]), "left_anti")
