@@ -1,5 +1,65 @@
-"""Pipeline over documents; stages follow."""
-STAGES = []
+"""From raw documents to packed token sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept.
+All but the last return the columns of documents; run() writes each stage's result as
+Parquet and reads it back as the next one's input.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scholium.llm import packing, quality_rules, simhash, suffix_dedup, toxicity
+from scholium.llm.common import cut
+from scholium.session import ship
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier chain, trained on the labels, doesn't take for toxic."""
+    ship(spark)
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and whose host isn't rejected."""
+    return quality_rules.keep_good(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row, with the smallest doc_id, of each group of near-duplicates."""
+    ship(spark)
+    return simhash.keep_first(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the bytes that repeat a passage of a document with a smaller doc_id."""
+    ship(spark)
+    cleaned = suffix_dedup.remove_repeats(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    ship(spark)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return packing.pack(docs, f.read()).withColumnRenamed("key", "doc_id")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", apply_quality_rules),
+    ("simhash_near_dedup", drop_near_copies),
+    ("suffix_array_dedup", cut_repeated_passages),
+    ("packing", pack_sequences),
+]
+#: A trained classifier and a tokenizer aren't SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else cut(docs), sf_dir)
+    return docs
