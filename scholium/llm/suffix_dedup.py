@@ -13,10 +13,13 @@ that hardly any suffix needs more than the first:
 3. Only where cells differ around one anchor - at the ends of a passage - are single
    windows sorted, by all their bytes.
 
-Digits are compared by 64-bit hashes, a window by 128 bits in the third pass. Each task
-first combines what it has itself: of rows that agree in both digits only the smallest
-document's are sorted globally, so a passage that many documents share sends one row a
-task. An anchor with very many different cells is dealt by cell and settled in pass 3.
+Digits are compared by 48-bit hashes, both of them together for cells, and a window by 128
+bits in the third pass. Each task first combines what it has itself: of rows that agree in
+both digits only the smallest document's are sorted globally, so a passage that many
+documents share sends one row a task. An anchor with very many different cells is dealt
+by cell, and its windows one by one in pass 3; other cells are sent whole and compared
+where all those of an anchor meet. Rows travel in compressed blocks, one for each task
+and range of hashes, and are sorted by Spark, which spills, on the other side.
 """
 
 from __future__ import annotations
@@ -26,22 +29,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm.common import cut, small_batches
 
-WIDTH, GRAM = 50, 24
+WIDTH, GRAM = 50, 20
 #: Bytes of text handled at a time, and anchors that a task gathers before it combines and sends them.
 BLOCK, GATHER = 1 << 21, 600_000
-#: Different cells of one anchor in one gathering from which it is dealt by cell.
-MANY = 32
+#: Different cells of one anchor in one gathering from which it is dealt by cell; cells of one
+#: anchor in all from which their windows are sorted one by one.
+MANY, HOT = 32, 2048
+#: Ranges of hashes for each partition of the global sort.
+RANGES = 16
 LAST = (1 << 63) - 1  # stands for a NULL key: after all others
 #: Places hold the offset in the text below this bit; above it, if keys repeat with other texts, bits of the text's hash.
 TAG = 31
 _IN_TEXT = (1 << TAG) - 1
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
-_SCHEMA = "h long, c long, k long, place long"
+_BITS = np.uint64(16)  # what digits of 48 bits leave
 
 
 def _mix(x: np.ndarray, y) -> np.ndarray:
@@ -105,35 +112,63 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int =
     return h[at], _spans(words, lo, length, at - lo), lo, length
 
 
-def _combined(h, c, k, start, length) -> pa.RecordBatch:
-    """Rows to sort globally. Rows whose (h, c) a smaller document of the task has, too, are
-    known to go: they pass through with a place below 0 and an even spread instead of h."""
+def _block(*columns: np.ndarray) -> bytes:
+    """Columns of 8-byte integers, by planes of their bytes, compressed."""
+    return zstandard.compress(b"".join(x.view("u1").reshape(-1, 8).T.tobytes() for x in columns), 1)
+
+
+def _unblock(block: bytes) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(block), np.uint8).reshape(4, 8, -1)
+    return [np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes]
+
+
+def _combined(ranges: int, h, c, k, start, length) -> pa.RecordBatch:
+    """Blocks of rows (h, c, k, place) to sort globally, by range of h.
+
+    Rows whose (h, c) a smaller document of the task has, too, are known to go: they make
+    a block of their own, with a place below 0 and no hashes.
+    """
+    h, c = h >> _BITS, c >> _BITS
     order = np.lexsort((k, c, h))
     h, c, k, place = h[order], c[order], k[order], (start[order] << 9) | length[order]
-    if len(h):
-        new_h = np.r_[True, h[1:] != h[:-1]]
-        new_v = new_h | np.r_[True, c[1:] != c[:-1]]
-        gone = k > k[new_v][np.cumsum(new_v) - 1]
-        first = np.flatnonzero(new_h)
-        many = np.add.reduceat(new_v.astype(np.int64), first) >= MANY
-        if many.any():
-            dealt = many[np.cumsum(new_h) - 1] & ~gone
-            marks = h[first[many]]  # tell the anchor's own group that there are more cells elsewhere
-            h = np.where(dealt, _mix(h, c), h)
-            place = np.where(dealt, place | 256, place)
-            h, c, k = np.r_[h, marks], np.r_[c, np.zeros_like(marks)], np.r_[k, np.full(len(marks), LAST)]
-            place, gone = np.r_[place, np.full(len(marks), 256)], np.r_[gone, np.zeros(len(marks), bool)]
-        h = np.where(gone, _mix(k.astype(np.uint64), place.astype(np.uint64)), h)
-        place = np.where(gone, -1 - place, place)
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h, c, k, place)], ["h", "c", "k", "place"])
+    new_h = np.r_[True, h[1:] != h[:-1]]
+    new_v = new_h | np.r_[True, c[1:] != c[:-1]]
+    gone = k > k[new_v][np.cumsum(new_v) - 1]
+    first = np.flatnonzero(new_h)
+    many = np.add.reduceat(new_v.astype(np.int64), first) >= MANY
+    none = np.zeros(int(gone.sum()), np.int64)
+    blocks = [(int(k[0]) % ranges, _block(none, none, k[gone], -1 - place[gone]))] if len(none) else []
+    dealt, marks = many[np.cumsum(new_h) - 1][~gone], h[first[many]]
+    h, c, k, place = h[~gone], c[~gone], k[~gone], place[~gone]
+    if len(marks):  # they tell the anchor's own group that it has more cells elsewhere
+        h = np.r_[np.where(dealt, _mix(h, c) >> _BITS, h), marks]
+        c, k = np.r_[c, np.zeros_like(marks)], np.r_[k, np.full(len(marks), LAST)]
+        place = np.r_[np.where(dealt, place | 256, place), np.full(len(marks), 256)]
+        order = np.argsort(h, kind="stable")
+        h, c, k, place = h[order], c[order], k[order], place[order]
+    at = (h >> np.uint64(16)).astype(np.int64) * ranges >> 32
+    edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        step = np.diff(h[i:j].view(np.int64), prepend=0)
+        blocks.append((int(at[i]), _block(step, c[i:j].view(np.int64), k[i:j], place[i:j])))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["range", "block"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in batch.column(1).to_pylist():
+            h, c, k, place = _unblock(block)
+            # Rows that are known to go stand anywhere but together.
+            h = np.where(place < 0, _mix(k.astype(np.uint64), place.astype(np.uint64)).view(np.int64), np.cumsum(h))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, k, place)], ["h", "c", "k", "place"])
 
 
 class _Gather:
     """Gathers rows of a task until there are GATHER of them."""
 
-    def __init__(self) -> None:
+    def __init__(self, ranges: int) -> None:
         self.rows: list[tuple[np.ndarray, ...]] = []
-        self.n = 0
+        self.n, self.ranges = 0, ranges
 
     def add(self, *row: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.rows.append(row)
@@ -143,7 +178,7 @@ class _Gather:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            yield _combined(*map(np.concatenate, zip(*self.rows, strict=True)))
+            yield _combined(self.ranges, *map(np.concatenate, zip(*self.rows, strict=True)))
         self.rows, self.n = [], 0
 
 
@@ -168,9 +203,9 @@ def _blocks(keys: list[int], texts: list[bytes], tags: list[int], width: int) ->
         yield out()
 
 
-def _cells(width: int, gram: int):
+def _cells(width: int, gram: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather()
+        gather = _Gather(ranges)
         for batch in batches:
             for data, ends, keys, offsets in _blocks(*(batch.column(i).to_pylist() for i in range(3)), width):
                 h, c, start, length = anchors(data, ends, width, gram)
@@ -182,20 +217,97 @@ def _cells(width: int, gram: int):
     return run
 
 
-def _windows(width: int):
-    """Single windows of the cells that a text was asked for."""
+def _expanded(data: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int):
+    """(own, at, h, c) of the windows of spans of data: the span's number, the offset in it, and 128 bits."""
+    n = length - width + 1
+    own = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    words, start, size = _words(data), begin[own] + at, np.full(len(own), width, np.int64)
+    h, c = (_spans(words, start, size, np.full(len(own), seed)) for seed in (1, 2))
+    return own, at, h, c
+
+
+def _asked(width: int, gram: int):
+    """The cells that a text was asked for, by anchor; those of hot anchors as single windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather()
         for batch in batches:
+            keys, places, parts = [], [], []
             for k, text, tag, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                places = np.array(asked, np.int64)
-                begin, n = places >> 8 & _IN_TEXT, (places & 255) - width + 1
-                start = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                words, length = _words(np.frombuffer(text + bytes(8), np.uint8)), np.full(len(start), width, np.int64)
-                h, c = (_spans(words, start, length, np.full(len(start), seed)) for seed in (1, 2))
-                yield from gather.add(h, c, np.full(len(start), k), start + (tag << TAG), length)
-        yield from gather.flush()
+                for x in asked:
+                    at, n = x >> 9 & _IN_TEXT, x & 255
+                    keys.append(k)
+                    places.append(x)
+                    parts.append(text[at : at + n])
+            data = np.frombuffer(b"".join([*parts, bytes(8)]), np.uint8)
+            ends = np.cumsum([len(x) for x in parts])
+            k, place = np.array(keys, np.int64), np.array(places, np.int64)
+            h, _, start, _ = anchors(data, ends, width, gram)  # all windows of a cell have its anchor
+            own = np.searchsorted(ends, start, "right")
+            anchor = np.empty(len(k), np.uint64)
+            anchor[own] = h
+            hot = np.flatnonzero(place & 256)
+            cool = np.flatnonzero((place & 256) == 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[cool].view(np.int64)), pa.array(np.zeros(len(cool), np.int64)), pa.array(k[cool]), pa.array(place[cool]),
+                 pa.array([parts[i] for i in cool], pa.binary())], ["h", "c", "k", "place", "cell"])
+            for i in range(0, len(hot), GATHER // 32):
+                some = hot[i : i + GATHER // 32]
+                own, at, h, c = _expanded(data, (ends - np.diff(ends, prepend=0))[some], place[some] & 255, width)
+                kk, pp = k[some][own], ((place[some][own] >> 9) + at << 9) | width
+                order = np.lexsort((kk, c, h))
+                h, c, kk, pp = h[order], c[order], kk[order], pp[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
+                gone = kk > kk[new][np.cumsum(new) - 1]  # settled here: no need to meet the others
+                h = np.where(gone, _mix(kk.astype(np.uint64), pp.astype(np.uint64)), h)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(kk), pa.array(np.where(gone, -1 - pp, pp)),
+                     pa.nulls(len(kk), pa.binary())], ["h", "c", "k", "place", "cell"])
+
+    return run
+
+
+def _settled(width: int):
+    """Over rows (h, c, k, place, cell) with all of an h together: the windows that a smaller document has."""
+
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, c, k, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        cells = batch.column(4).drop_null().to_pylist()
+        whole = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        single = ~whole
+        data = np.frombuffer(b"".join([*cells, bytes(8)]), np.uint8)
+        length = np.array([len(x) for x in cells], np.int64)
+        own, at, h2, c2 = _expanded(data, np.cumsum(length) - length, length, width)
+        known = single & (place < 0)
+        single &= ~known
+        h = np.r_[h[single].view(np.uint64), h2]
+        c = np.r_[c[single].view(np.uint64), c2]
+        start = np.r_[place[single] >> 9, (place[whole] >> 9)[own] + at]
+        kk = np.r_[k[single], k[whole][own]]
+        order = np.lexsort((kk, c, h))
+        h, c, kk, start = h[order], c[order], kk[order], start[order]
+        if len(h):
+            new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
+            gone = kk > kk[new][np.cumsum(new) - 1]
+            kk, start = kk[gone], start[gone]
+        kk, start = np.r_[kk, k[known]], np.r_[start, (-1 - place[known]) >> 9]
+        return pa.RecordBatch.from_arrays([pa.array(kk), pa.array((start << 9) | width)], ["k", "span"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            if not len(batch):
+                continue
+            h = batch.column(0).to_numpy()
+            last = np.flatnonzero(h != h[-1])
+            at = int(last[-1]) + 1 if len(last) else 0
+            held = batch.slice(at)
+            if at:
+                yield judged(batch.slice(0, at))
+        if held is not None:
+            yield judged(held)
 
     return run
 
@@ -207,7 +319,7 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def judged(h, c, k, place) -> pa.RecordBatch:
         known = place < 0
         back = -1 - place[known]
-        out = [(k[known], back >> 9, back & 255, np.zeros(len(back), bool))]
+        out = [(k[known], back, np.zeros(len(back), bool))]
         h, c, k, place = h[~known], c[~known], k[~known], place[~known]
         if len(h):
             new_h = np.r_[True, h[1:] != h[:-1]]
@@ -218,10 +330,13 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             real = (place & 255) > 0
             gone = (k > least) & real
             ask = (k == least) & real & more[np.cumsum(new_h) - 1]
+            size = np.add.reduceat(ask.astype(np.int64), first)
+            hot = (size > HOT) | (np.maximum.reduceat(place & 256, first) > 0)
+            place = (place & ~256) | np.where(hot[np.cumsum(new_h) - 1] & ask, 256, 0)
             for pick, asked in ((gone, False), (ask, True)):
-                out.append((k[pick], place[pick] >> 9, place[pick] & 255, np.full(int(pick.sum()), asked)))
-        k, start, length, ask = map(np.concatenate, zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array((start << 8) | length), pa.array(ask)], ["k", "span", "ask"])
+                out.append((k[pick], place[pick], np.full(int(pick.sum()), asked)))
+        k, place, ask = map(np.concatenate, zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(place), pa.array(ask)], ["k", "span", "ask"])
 
     held = None
     for batch in batches:
@@ -240,19 +355,15 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merged(spans: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs (starts, ends) of spans given as start << 8 | length; runs that touch are one."""
+    """Maximal runs (starts, ends) of spans given as start << 9 | length; runs that touch are one."""
     if not spans:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    x = np.sort(np.array(spans, np.int64)) & ((1 << (TAG + 8)) - 1)
-    start, end = x >> 8, np.maximum.accumulate((x >> 8) + (x & 255))
+    x = np.sort(np.array(spans, np.int64)) & ((1 << (TAG + 9)) - 1)
+    start, end = x >> 9, np.maximum.accumulate((x >> 9) + (x & 255))
     new = np.r_[True, start[1:] > end[:-1]]
     return start[new], end[np.r_[new[1:], True]]
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("h").sortWithinPartitions("h", "c", "k").mapInArrow(_reduced, "k long, span long, ask boolean")
-
-
 def _keyed(docs: DataFrame, key: str, data: Column) -> tuple[Column, Column]:
     """Columns k, the key as a number, and tag, which tells apart different texts of one key."""
     k = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
@@ -265,29 +376,34 @@ def _keyed(docs: DataFrame, key: str, data: Column) -> tuple[Column, Column]:
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM):
     """(texts, spans): the UTF-8 texts by (k, tag), and for each (k, tag) with any the list of covered spans.
 
-    A span is start << 8 | length in bytes: every byte of it lies in a string of ``width``
+    A span is start << 9 | length in bytes: every byte of it lies in a string of ``width``
     bytes that also starts in a text with a smaller key. Texts with equal keys are no
     smaller than each other; a NULL key is larger than all; NULL texts are empty.
     """
     if not 16 <= gram < width <= 128:
         raise ValueError("16 <= gram < width <= 128")
-    small_batches(docs.sparkSession, rows=8192, megabytes=8)
+    spark = docs.sparkSession
+    small_batches(spark, rows=8192, megabytes=8)
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     k, tag = _keyed(docs, key, data)
     texts = docs.select(k.alias("k"), data.alias("data"), tag.alias("tag"))
-    found = cut(_sorted(texts.mapInArrow(_cells(width, gram), _SCHEMA)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = texts.mapInArrow(_cells(width, gram, RANGES * parts), "range int, block binary").repartition(parts, "range")
+    rows = blocks.mapInArrow(_opened, "h long, c long, k long, place long").sortWithinPartitions("h", "c", "k")
+    found = cut(rows.mapInArrow(_reduced, "k long, span long, ask boolean"))
     # Both uses of the texts by key below are one exchange.
-    dealt = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "tag")
+    dealt = texts.repartition(parts, "k", "tag")
     asked = _listed(found.where("ask"), "asked")
-    single = dealt.join(asked, [dealt["k"] == asked["_k"], dealt["tag"] == asked["_tag"]])
-    single = single.select("k", "data", "tag", "asked").mapInArrow(_windows(width), _SCHEMA)
-    spans = found.where("not ask").select("k", "span").union(_sorted(single).where("not ask").select("k", "span"))
+    cells = dealt.join(asked, [dealt["k"] == asked["_k"], dealt["tag"] == asked["_tag"]])
+    cells = cells.select("k", "data", "tag", "asked").mapInArrow(_asked(width, gram), "h long, c long, k long, place long, cell binary")
+    settled = cells.repartition("h").sortWithinPartitions("h").mapInArrow(_settled(width), "k long, span long")
+    spans = found.where("not ask").select("k", "span").union(settled)
     return dealt, _listed(spans, "spans")
 
 
 def _listed(spans: DataFrame, name: str) -> DataFrame:
     """A row for each text with its spans; there are no more than the text has windows."""
-    return spans.groupBy(F.col("k").alias("_k"), F.shiftright("span", TAG + 8).alias("_tag")).agg(F.collect_list("span").alias(name))
+    return spans.groupBy(F.col("k").alias("_k"), F.shiftright("span", TAG + 9).alias("_tag")).agg(F.collect_list("span").alias(name))
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
