@@ -4,6 +4,7 @@ The tree stands over the byte positions of a piece. A leaf has the rank of the p
 starts there, an inner node the smallest rank below it, so the leftmost minimum is found
 by descending from the root. A merge makes one position dead and changes the pairs of
 two live neighbours: three point updates of logarithmic cost, whatever the piece's length.
+Short pieces, nearly all, are merged in step over many trees at once.
 """
 
 from __future__ import annotations
@@ -83,38 +84,127 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merger:
+    """merge() for many short pieces at once: one segment tree for each, all in step.
+
+    Live parts are token ids, so that the rank of a pair is looked up by two ids.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        pairs = [
+            (x << 32 | y, r) for t, r in ranks.items() for i in range(1, len(t))
+            if (x := ranks.get(t[:i])) is not None and (y := ranks.get(t[i:])) is not None
+        ]
+        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.keys, self.values = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NONE where they don't merge or an id is below 0."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.values[at], NONE)
+
+    def merge(self, pieces: list[bytes], levels: int) -> list[bytes]:
+        """Ids of pieces of 2 to 2 ** levels bytes."""
+        size, rows = 1 << levels, np.arange(len(pieces))
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = np.full((len(pieces), size + 1), -1, np.int64)  # one more: where the end of a piece points
+        inside = np.arange(size + 1) < n[:, None]
+        ids[inside] = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.minimum(np.tile(np.arange(1, size + 2), (len(pieces), 1)), n[:, None])
+        before = np.tile(np.arange(-1, size), (len(pieces), 1))
+        tree = np.full((len(pieces), 2 * size), NONE, np.int64)
+        tree[:, size:] = self.pair(ids[:, :-1], ids[:, 1:])
+        for p in range(size - 1, 0, -1):
+            tree[:, p] = np.minimum(tree[:, 2 * p], tree[:, 2 * p + 1])
+
+        def put(r: np.ndarray, at: np.ndarray, rank) -> None:
+            q = at + size
+            tree[r, q] = rank
+            for _ in range(levels):
+                q >>= 1
+                tree[r, q] = np.minimum(tree[r, 2 * q], tree[r, 2 * q + 1])
+
+        r = rows[tree[:, 1] < NONE]
+        while len(r):
+            least, p = tree[r, 1], np.ones(len(r), np.int64)
+            for _ in range(levels):
+                p *= 2
+                p += tree[r, p] != least
+            i = p - size
+            j = after[r, i]
+            end = after[r, j]
+            ids[r, i], ids[r, j] = least, -1
+            after[r, i] = end
+            before[r, end] = i
+            put(r, j, NONE)
+            put(r, i, self.pair(ids[r, i], ids[r, end]))
+            k = before[r, i]
+            some = k >= 0
+            put(r[some], k[some], self.pair(ids[r[some], k[some]], ids[r[some], i[some]]))
+            r = r[tree[r, 1] < NONE]
+        live = ids >= 0
+        flat = ids[live].astype("<u4").tobytes()
+        ends = np.cumsum(4 * live.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class Codec:
-    """Encodes texts to little-endian unsigned 32-bit ids and decodes them; caches what is frequent."""
+    """Encodes texts to little-endian unsigned 32-bit ids and decodes them; caches what is frequent.
+
+    Texts are cut at spaces into chunks, these by the pattern into pieces. Both caches
+    stop growing when full; what isn't in them is worked out again for each batch.
+    """
 
     def __init__(self, definition: bytes, pattern: str):
         self.ranks = load_ranks(definition)
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.split = regex.compile(pattern).findall
+        self.merger = Merger(self.ranks)
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        out = self.pieces.get(piece)
-        if out is None:
-            out = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-            if len(piece) <= CHUNK and len(self.pieces) < CACHE:
-                self.pieces[piece] = out
+    def _merged(self, pieces: set[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        short: dict[int, list[str]] = {}
+        for piece in pieces:
+            data = piece.encode()
+            known = self.ranks.get(data)
+            if known is not None:
+                out[piece] = known.to_bytes(4, "little")
+            elif 2 <= len(data) <= 32:
+                short.setdefault((len(data) - 1).bit_length(), []).append(piece)
+            else:
+                out[piece] = np.array(merge(data, self.ranks), "<u4").tobytes()
+        for levels, some in short.items():
+            for i in range(0, len(some), 4096):
+                part = some[i : i + 4096]
+                out.update(zip(part, self.merger.merge([x.encode() for x in part], levels), strict=True))
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        out = self.chunks.get(chunk)
-        if out is None:
-            out = b"".join(map(self._piece, self.split(chunk)))
-            if len(chunk) <= CHUNK and len(self.chunks) < CACHE:
-                self.chunks[chunk] = out
+    @staticmethod
+    def _keep(cache: dict[str, bytes], new: dict[str, bytes]) -> None:
+        for key, ids in new.items():
+            if len(cache) >= CACHE:
+                break
+            if len(key) <= CHUNK:
+                cache[key] = ids
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        known, pieces = self.chunks, self.pieces
+        cut_up = [spaced(t) or [t] for t in texts]  # with white space that a cut could part, a text is one chunk
+        new = {c: self.split(c) for c in {c for chunks in cut_up for c in chunks if c not in known}}
+        fresh = self._merged({p for found in new.values() for p in found if p not in pieces})
+        ids = {c: b"".join([pieces[p] if p in pieces else fresh[p] for p in found]) for c, found in new.items()}
+        out = [b"".join([known[c] if c in known else ids[c] for c in chunks]) for chunks in cut_up]
+        self._keep(pieces, fresh)
+        self._keep(known, ids)
         return out
 
     def encode(self, text: str) -> bytes:
-        chunks = spaced(text)
-        if chunks is None:  # white space that a cut could part
-            return b"".join(map(self._piece, self.split(text)))
-        get, own = self.chunks.get, self._chunk
-        return b"".join([get(c) or own(c) for c in chunks])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -169,7 +259,7 @@ def _mapped(docs, definition, pattern, key, text, columns, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shipped.value, pattern)
         for batch in batches:
-            rows = [make(own, own.encode(t or "")) for t in batch.column(1).to_pylist()]
+            rows = [make(own, ids) for ids in own.encode_all([t or "" for t in batch.column(1).to_pylist()])]
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["key", *names])
 
