@@ -242,7 +242,7 @@ def to_source(key: str, genre: str, fields: dict[str, str], plain: Callable[[str
 
 def alternative_keys(fields: Column) -> Column:
     """Keys of the field ids, without repeats."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.element_at(fields, F.lit("ids")), F.lit("")), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.element_at(fields, F.lit("ids")), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def as_bibtex(key: Column, genre: Column, fields: Column) -> Column:

@@ -155,3 +155,48 @@ def fold_fields(placed: DataFrame) -> DataFrame:
         F.col("merged_key").alias("key"), "genre",
         F.map_concat(creators, F.coalesce("_fields", F.create_map().cast("map<string,string>"))).alias("fields"), "citekeys",
     )
+
+
+#: Parts of paths whose files are no sources of text.
+NOT_FETCHED = ("/figures/", "/slides/", "/cover/", ".sty/", "/templates/", "/attic/", "/backup/")
+
+
+def fetchable(tree: DataFrame, excluded: tuple[str, ...] = NOT_FETCHED) -> DataFrame:
+    """Rows (path, type, ...) of a file tree that are TeX or BibTeX sources or Makefiles outside excluded places."""
+    path = F.col("path")
+    wanted = path.rlike(r"\.(bib|tex)$") | (F.substring_index(path, "/", -1) == "Makefile")
+    rows = tree.where(~F.col("type").isin("tree", "commit") & wanted)
+    for part in excluded:
+        rows = rows.where(~F.concat(F.lit("/"), path).contains(part))
+    return rows
+
+
+def example_sources(examples: DataFrame, sources: DataFrame) -> DataFrame:
+    """(pub_id, example, ord, sid, pages, genre, fields): the entries that examples cite, but not their own publication.
+
+    sources hold the publications themselves too. An unknown source gives NULL fields,
+    for missing_sources() to report.
+    """
+    cited = examples.select("pub_id", F.col("id").alias("example"), F.posexplode("sources").alias("ord", "s")).select("pub_id", "example", "ord", "s.sid", "s.pages")
+    known = sources.select(F.col("sid").alias("_sid"), "genre", "fields")
+    return cited.where(F.col("sid") != F.col("pub_id")).join(known, F.col("sid") == F.col("_sid"), "left").drop("_sid")
+
+
+def missing_sources(cited: DataFrame) -> DataFrame:
+    """Rows of example_sources() whose source is unknown; there should be none."""
+    return cited.where(F.col("fields").isNull())
+
+
+def abbreviations_for(examples: DataFrame, abbreviations: DataFrame) -> DataFrame:
+    """examples (pub_id, path, ...) with ``abbreviations``: those of their file if it has any, else of the book, else none."""
+    maps = abbreviations.groupBy("pub_id", "path").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("abbr", "definition")))).alias("_map"))
+    own = maps.where("path is not null").select(F.col("pub_id").alias("_p"), F.col("path").alias("_f"), F.col("_map").alias("_own"))
+    book = maps.where("path is null").select(F.col("pub_id").alias("_b"), F.col("_map").alias("_book"))
+    none = F.create_map().cast("map<string,string>")
+    return (
+        examples.join(own, [examples["pub_id"] == F.col("_p"), examples["path"] == F.col("_f")], "left")
+        .join(book, examples["pub_id"] == F.col("_b"), "left")
+        .withColumn("abbreviations", F.coalesce("_own", "_book", none))
+        .drop("_p", "_f", "_own", "_b", "_book")
+    )

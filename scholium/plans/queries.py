@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholium.functions import bib
 from scholium.functions import text as T
 from scholium.operators import examples, languages, references
 
@@ -313,3 +314,98 @@ def crossrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, rpad(p_brand, CAST(greatest(length(p_brand), length(p_type)) AS INTEGER), ' ') || '  ' || 'x' || chr(10) || rpad(p_type, CAST(greatest(length(p_brand), length(p_type)) AS INTEGER), ' ') || '  ' || 'y' AS igt FROM part""")
 def igt_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", examples.igt_text(F.array("p_brand", F.lit("x")), F.array("p_type", F.lit("y"))).alias("igt"))
+
+
+@query("""
+SELECT p_partkey, path FROM (SELECT p_partkey, p_size, CASE p_size % 4 WHEN 0 THEN 'book/' WHEN 1 THEN 'figures/' ELSE '' END || p_partkey ||
+  CASE p_size % 3 WHEN 0 THEN '.tex' WHEN 1 THEN '.bib' ELSE '.pdf' END AS path FROM part)
+WHERE p_size % 3 < 2 AND p_size % 4 <> 1 AND p_size % 5 <> 0""")
+def fetch_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.when(F.col("p_size") % 4 == 0, "book/").when(F.col("p_size") % 4 == 1, "figures/").otherwise("")
+    suffix = F.when(F.col("p_size") % 3 == 0, ".tex").when(F.col("p_size") % 3 == 1, ".bib").otherwise(".pdf")
+    tree = read(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(folder, F.col("p_partkey"), suffix).alias("path"), F.when(F.col("p_size") % 5 == 0, "tree").otherwise("blob").alias("type"))
+    return references.fetchable(tree).select("p_partkey", "path")
+
+
+@query("""
+SELECT o_orderkey AS example, c.c_name AS title FROM orders o LEFT JOIN customer c ON c.c_custkey = o_custkey AND c_custkey % 2 = 0 WHERE o_custkey <> o_orderkey""")
+def example_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("pub_id"), F.array(F.struct(F.col("o_custkey").alias("sid"), F.lit("1").alias("pages"))).alias("sources"))
+    sources = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("sid"), F.lit("book").alias("genre"), F.create_map(F.lit("title"), "c_name").alias("fields"))
+    return references.example_sources(rows, sources).select("example", F.col("fields")["title"].alias("title"))
+
+
+@query("""
+WITH a AS (SELECT p_size % 5 AS pub_id, CASE WHEN p_size % 2 = 0 THEN p_type END AS path, lower(p_brand) AS abbr, max(p_name) AS definition FROM part GROUP BY ALL),
+m AS (SELECT pub_id, path, string_agg(abbr || '=' || definition, ';' ORDER BY abbr) AS m FROM a GROUP BY ALL)
+SELECT p_partkey, coalesce(f.m, b.m, '') AS short FROM (SELECT p_partkey, p_partkey % 6 AS pub_id, p_type AS path FROM part) e
+LEFT JOIN m f ON f.pub_id = e.pub_id AND f.path = e.path LEFT JOIN m b ON b.pub_id = e.pub_id AND b.path IS NULL""")
+def abbreviation_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    short = part.groupBy((F.col("p_size") % 5).cast("long").alias("pub_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("path"), F.lower("p_brand").alias("abbr")).agg(F.max("p_name").alias("definition"))
+    rows = part.select("p_partkey", (F.col("p_partkey") % 6).alias("pub_id"), F.col("p_type").alias("path"))
+    listed = F.array_join(F.transform(F.sort_array(F.map_entries("abbreviations")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return references.abbreviations_for(rows, short).select("p_partkey", listed.alias("short"))
+
+
+@query()
+def merge_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bibliography merge with similar titles: first lines of documents as titles, their sources as creators."""
+    title = F.substring(F.substring_index("text", "\n", 1), 1, 80)
+    rows = read(spark, sf_dir, "documents").select(
+        F.concat_ws(":", "source", F.lit("99")).alias("key"), F.concat(F.lit("d"), "doc_id").alias("citekey"), F.lit("misc").alias("genre"),
+        F.create_map(F.lit("title"), title).alias("fields"), T.norm_title(title).alias("title"), bib.slug_udf(title).alias("title_slug"),
+        F.lit("1999").alias("year"), F.col("source").alias("author_slug"), F.col("doc_id").alias("ord"))
+    merged = references.merge_bibliography(rows, bib.similar_titles())
+    return merged.select("key", F.size("citekeys").alias("n"), F.col("fields")["title"].alias("title"))
+
+
+@query()
+def keys_and_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, slugs and normalized keys of names, with letters that need folding."""
+    name = F.concat(F.lit("Müller-Ø "), "c_name")
+    return read(spark, sf_dir, "customer").select(
+        "c_custkey", bib.make_key_udf(name, F.lit(""), F.lit("1999")).alias("key"), bib.slug_udf(name).alias("slug"), bib.normalize_key_udf(F.concat(name, F.lit("–1"))).alias("normal"))
+
+
+def _as_bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = F.concat(F.lit("@Book{K"), F.col("p_partkey"), F.lit(", title = {A {"), F.col("p_name"), F.lit("} \\'e}, date = "), F.lit("1999, ids = {x"), F.col("p_partkey"), F.lit("}, keywords = {k}}\n"))
+    return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("pub_id")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("text"))
+
+
+@query("SELECT p_brand AS pub_id, 'k' || p_partkey AS key, 'A ' || p_name || ' é' AS title, '1999' AS year, 'x' || p_partkey AS alias FROM part")
+def bibtex_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BibTeX files made from parts, parsed into entries."""
+    from scholium.sources import bibliographies
+
+    rows = bibliographies.parsed(_as_bibtex(spark, sf_dir), ["pub_id"])
+    return rows.select("pub_id", "key", F.col("fields")["title"].alias("title"), F.col("fields")["year"].alias("year"), F.element_at("alt_keys", 1).alias("alias"))
+
+
+@query(r"""
+SELECT p_partkey, CAST(2 AS BIGINT) AS n, 'w' || p_partkey || '-ne ' || 'x' AS words, 'go-PL ' || 'y_' || p_size AS gloss, '`Said ' || p_partkey || '.''' AS translation, 'Lang' AS language FROM part""")
+def tex_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TeX files made from parts, scanned for glossed examples."""
+    from scholium.sources import books
+
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("\\langinfo{Lang}{F}{\\citet[1]{D}}\n\\gll w"), key, F.lit("-ne x % c\n\\\\\n go-\\textsc{pl} {y "), F.col("p_size").cast("string"), F.lit("} \\\\\n\\glt `Said "), key, F.lit(".'\n"))
+    files = read(spark, sf_dir, "part").select(key.alias("pub_id"), F.lit("f").alias("path"), F.lit(0).alias("file_ord"), text.alias("text"))
+    return books.examples(files).select(
+        F.col("pub_id").cast("long").alias("p_partkey"), F.size("words").cast("long").alias("n"), F.array_join("words", " ").alias("words"), F.array_join("gloss", " ").alias("gloss"), "translation", "language")
+
+
+@query("""
+SELECT p_partkey, 'r' || p_partkey AS sid, 'article' AS genre, p_name AS title, p_type AS journal, '1-9' AS pages FROM part""")
+def article_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article XML made from parts, parsed into references."""
+    from scholium.sources import articles
+
+    text = F.concat(
+        F.lit('<article><ref-list><ref id="r'), F.col("p_partkey"), F.lit('"><element-citation publication-type="journal"><article-title>'), F.col("p_name"),
+        F.lit("</article-title><source>"), F.col("p_type"), F.lit("</source><fpage>1</fpage><lpage>9</lpage></element-citation></ref></ref-list></article>"))
+    rows = articles.corpus(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pub_id"), text.alias("text"))).references
+    get = lambda k: F.col("fields")[k].alias(k)
+    return rows.select(F.col("pub_id").alias("p_partkey"), "sid", "genre", get("title"), get("journal"), get("pages"))
