@@ -25,9 +25,9 @@ from scholium.llm.common import cut
 #: Vectors the forest is fitted on, at most.
 SAMPLE = 65_536
 #: Leaves of each tree and leaves that a query sees. Vectors without any structure, as those of
-#: the test tables, need about half of all leaves for a recall of 0.9; clustered ones far fewer,
+#: the test tables, need over half of all leaves for a recall of 0.9; clustered ones far fewer,
 #: for which more and smaller leaves save work.
-TREES, LEAVES, PROBES = 8, 64, 72
+TREES, LEAVES, PROBES = 8, 64, 104
 #: Vectors of a leaf that are compared at a time.
 BLOCK = 4096
 
