@@ -193,7 +193,8 @@ def judge(
     """
     own = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     ids = labels.where(trusted).where(F.col(key).isNotNull()).select(F.col(key).alias("_id")).distinct()
-    counts = cut(counted(own.join(ids, own["key"] == ids["_id"], "left_semi"), "text", order))
+    # Labels grow with the corpus: they are joined by shuffle whatever their size today.
+    counts = cut(counted(own.join(ids.hint("merge"), own["key"] == ids["_id"], "left_semi"), "text", order))
     scored = None
     n_shards = 0
     small_batches(docs.sparkSession)
