@@ -36,6 +36,11 @@ def repeated_words(tokens: Column) -> Column:
     sorted with their places, equal neighbours keep their places, and the places, sorted
     again, are united: each window covers up to three words until the next.
     """
+    # Bound here, as a filter above may put the column's expression in its place.
+    return _bind(tokens, _repeated)
+
+
+def _repeated(tokens: Column) -> Column:
     n = F.size(tokens)
     windows = F.transform(
         F.slice(tokens, F.lit(1), F.greatest(n - 2, F.lit(0))),
