@@ -11,8 +11,10 @@ their rank among rests of their length.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,24 +31,53 @@ END_ID = 1
 CACHE, CHUNK = 500_000, 48
 
 
+#: How byte-level BPE splits a text before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def ranks_of(definition: dict) -> dict[bytes, int] | None:
+    """Ranks of byte strings, if the definition is byte-level BPE by PATTERN and its ids follow the merges."""
+    model, before = definition["model"], definition.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not definition.get("normalizer") and not any(
+        model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    )
+    if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    vocabulary = model["vocab"]
+    for i, merge in enumerate(model["merges"]):
+        if vocabulary.get("".join(merge) if isinstance(merge, list) else merge.replace(" ", "")) != 256 + i:
+            return None
+    special = {t["content"] for t in definition.get("added_tokens", [])}
+    return {bytes(map(letters.__getitem__, t)): i for t, i in vocabulary.items() if t not in special}
+
+
 class CachedTokenizer:
-    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit integers.
+    """Ids of whole texts as the tokenizers library gives them, as little-endian unsigned 32-bit integers.
 
     The pre-tokenizer of byte-level BPE never joins what a space parts, if what precedes
     the space isn't white space itself: such chunks are encoded once and kept. Other
-    texts are encoded whole. Strings of special tokens are ordinary text.
+    texts are encoded whole. Strings of special tokens are ordinary text. Definitions of
+    plain byte-level BPE, whose ids are ranks, are run by tiktoken, which gives the same
+    ids in a fraction of the time; others by the library itself.
     """
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ranks = ranks_of(json.loads(definition))
+        if ranks:
+            import tiktoken
+
+            ordinary = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self._encode = lambda texts: [array("I", ordinary(t)).tobytes() for t in texts]
+        else:
+            from tokenizers import Tokenizer
+
+            plain = Tokenizer.from_str(definition)
+            plain.encode_special_tokens = True
+            self._encode = lambda texts: [array("I", e.ids).tobytes() for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut_up = [spaced(t) for t in texts]
