@@ -20,10 +20,12 @@ from scholium.llm import (
     toxicity,
     url_filters,
 )
+from scholium.llm.common import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(rows) if table == "documents" else rows
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
