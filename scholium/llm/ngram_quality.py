@@ -1,30 +1,37 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of byte n-grams.
-
-Counts come from all trusted text. The model is ORDER bytes deep, so a gram is an
-integer and the tables below the highest order have at most 256 ** (ORDER - 1) entries.
-The highest order is cut into shards of a bounded number of grams, by their first bytes,
-so that a gram and all that share its context are in one; each shard in turn is joined,
-as a broadcast of proven size, with the grams of every document, whose log-probabilities
-add up. Texts aren't shuffled for that. Perplexities are held against a quantile of the
-trusted documents of the same language.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of word n-grams.
+
+Counts come from all trusted text; the tables grow with it. Grams of words of the
+documents meet those of the model by shuffle, one order after the other: what the highest
+order doesn't know goes on to the next, times what its context leaves. Below the single
+words stands a model of their spelling, SPELLING bytes deep, so that unknown words (and
+scripts without spaces) have a chance too; only that one is bounded by the alphabet, and
+is a broadcast. Perplexities are held against a quantile of the trusted documents of the
+same language. These would know all their grams, which no other document does; so each
+word of a trusted document is scored by counts without itself (leaving one out).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import cut, small_batches
+from scholium.llm.common import SPACE, cut, small_batches
 
-ORDER = 4
-#: Grams of the highest order that one shard holds, at most (or one first half of a gram, if that has more).
+#: Words of a gram, and bytes of one of the spelling model.
+ORDER, SPELLING = 3, 3
+#: Grams of the highest order that one shuffle partition holds, about.
 SHARD = 2_000_000
+#: Stands for the words before the first.
+START = 0
 #: Documents beyond this quantile of the trusted ones' perplexity, in their language, are rejected.
 QUANTILE = 0.99
 #: Bytes of text whose grams a worker holds at a time.
@@ -56,7 +63,7 @@ def _parts(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.concatenate(got), np.concatenate(rows)
 
 
-def counted(trusted: DataFrame, text: str, order: int = ORDER) -> DataFrame:
+def counted(trusted: DataFrame, text: str, order: int = SPELLING) -> DataFrame:
     """(gram, n) over all of a table's texts; each task sums up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +142,7 @@ class Shard:
         return np.log(p)
 
 
-def shards(counts: DataFrame, order: int = ORDER, size: int = SHARD) -> Iterator[Shard]:
+def shards(counts: DataFrame, order: int = SPELLING, size: int = 1 << 8 * SPELLING) -> Iterator[Shard]:
     """The model, shard by shard. counts: (gram, n), which is read once for each shard."""
     def frequent(t: DataFrame) -> np.ndarray:
         return discounts({int(r["n"]): r["count"] for r in t.where("n <= 4").groupBy("n").count().collect()})
@@ -158,56 +165,148 @@ def shards(counts: DataFrame, order: int = ORDER, size: int = SHARD) -> Iterator
         yield Shard(order, low, high, table(got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64), top), lower)
 
 
-def _scored(docs: DataFrame, shard: Shard) -> DataFrame:
-    """(key, lang, hash, n, s): grams of each text and the log-probabilities of those in the shard."""
-    shipped = docs.sparkSession.sparkContext.broadcast(shard)  # bounded by SHARD and the order
+def _codes(words: list[bytes]) -> np.ndarray:
+    """The 64-bit code of each word; none is START."""
+    return np.array([xxhash.xxh64_intdigest(w) or 1 for w in words], np.uint64).view(np.int64)
+
+
+def _columns(order: int) -> list[str]:
+    return [f"w{i}" for i in range(order)]
+
+
+def word_grams(docs: DataFrame, order: int) -> DataFrame:
+    """(row, own, w0, w1, ...): every word of docs (row, own, text) with those before it. Texts with fewer bytes than the order have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = shipped.value
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(3).to_pylist()]
-            s = np.zeros(len(texts))
-            for g, row in _parts(texts, shard.order):
-                own = (g >= shard.low) & (g < shard.high)
-                if not own.all():
-                    g, row = g[own], row[own]
+            rows, flags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            got = [[] for _ in range(order)]
+            n = []
+            for text in batch.column(2).to_pylist():
+                data = (text or "").encode()
+                words = data.split() if len(data) >= order else []
+                n.append(len(words))
+                padded = np.r_[np.full(order - 1, START), _codes(words)]
+                for i in range(order):
+                    got[i].append(padded[i : i + len(words)])
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, n)), pa.array(np.repeat(flags, n)), *[pa.array(np.concatenate(g)) for g in got]], ["row", "own", *_columns(order)])
+
+    return docs.select("row", "own", "text").mapInArrow(run, "row long, own boolean, " + ", ".join(f"{c} long" for c in _columns(order)))
+
+
+def spelt(docs: DataFrame, model: Shard) -> DataFrame:
+    """(w, base): each different word of docs and its probability as a sequence of bytes up to a space."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the alphabet
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        for batch in batches:
+            words = list({w for t in batch.column(0).to_pylist() for w in (t or "").encode().split()})
+            s = np.zeros(len(words))
+            for g, at in _parts([b" " * (model.order - 1) + w + b" " for w in words], model.order):
                 codes, different = pd.factorize(g)
-                s += np.bincount(row, shard.log_probability(different)[codes], len(texts))
-            n = [max(0, len(t) - shard.order + 1) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(s)], ["key", "lang", "hash", "n", "s"])
+                s += np.bincount(at, model.log_probability(different)[codes], len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(_codes(words), pa.int64()), pa.array(s)], ["w", "base"])
+
+    return docs.select("text").mapInArrow(run, "w long, base double").groupBy("w").agg(F.min("base").alias("base"))
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{fields}, n long, s double")
+
+def _off(n: Column, d: np.ndarray) -> Column:
+    return F.when(n == 1, d[1]).when(n == 2, d[2]).when(n > 2, d[3]).otherwise(0.0)
+
+
+def word_model(grams: DataFrame, words: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """From the grams of trusted text: for each order from 1 (w..., lp, lp1) and (context..., rest, rest1), as logarithms.
+
+    lp1 and rest1 are without the occurrence that is scored, NULL if there is no other. The
+    first order has every word of words (w, base), also those of no trusted text.
+    """
+    names = _columns(order)
+    counts = [cut(grams.groupBy(*names).agg(F.count("*").alias("n")))]
+    for k in range(order - 1, 0, -1):  # a lower order counts the different words before a gram
+        counts.insert(0, cut(counts[0].groupBy(*names[order - k :]).agg(F.count("*").alias("n"))))
+    known, rests = [], []
+    n, total, left = F.col("n"), F.col("total"), F.col("left")
+    for k, now in enumerate(counts, 1):
+        own, d = names[order - k :], discounts({int(r["n"]): r["count"] for r in now.where("n <= 4").groupBy("n").count().collect()})
+        sums = F.sum("n").alias("total"), F.sum(_off(n, d)).alias("left")
+        fewer = left - _off(n, d) + _off(n - 1, d)
+        if k == 1:
+            t, o = now.agg(*sums).first()
+            both = words.join(now.withColumns({"total": F.lit(t), "left": F.lit(o)}), words["w"] == now[own[0]], "left").select(
+                words["w"].alias(own[0]), "base", "n", "total", "left")
+            share, share1 = (n - _off(n, d)) / total, (n - 1 - _off(n - 1, d)) / (total - 1)
+            # Logarithms are added up as long as they can be: exp(base) may be 0.
+            unknown = F.lit(float(np.log(o / t)) if t else 0.0) + F.col("base")
+            unknown1 = F.when(total > 1, F.log(fewer / (total - 1)) + F.col("base")).otherwise(F.col("base"))
+            lp = F.when(n.isNull(), unknown).otherwise(F.log(share + F.exp(unknown)))
+            lp1 = F.when(n > 1, F.log(share1 + F.exp(unknown1))).otherwise(unknown1)
+            known.append(cut(both.select(own[0], lp.alias("lp"), lp1.alias("lp1"))))
+            rests.append(None)
+        else:
+            contexts = cut(now.groupBy(*own[:-1]).agg(*sums))
+            p = (n - _off(n, d) + left * F.exp("lp")) / total
+            p1 = F.when(n > 1, F.log((n - 1 - _off(n - 1, d) + fewer * F.exp("lp")) / (total - 1)))
+            joined = now.join(contexts, own[:-1]).join(known[-1].select(*own[1:], "lp"), own[1:])
+            known.append(cut(joined.select(*own, F.log(p).alias("lp"), p1.alias("lp1"))))
+            rest1 = F.when(total > 1, F.log(F.greatest(left - d[1], F.lit(1e-9)) / (total - 1)))
+            rests.append(contexts.select(*own[:-1], F.log(left / total).alias("rest"), rest1.alias("rest1")))
+    return known, rests
+
+
+def log_probabilities(grams: DataFrame, known: list[DataFrame], rests: list[DataFrame], order: int, shard: int = SHARD) -> DataFrame:
+    """(row, s, n): the sum of the log-probabilities of a row's words, and how many there are; rows with own leave theirs out."""
+    names, spark = _columns(order), grams.sparkSession
+    parts = max(-(-known[-1].count() // shard), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    now, found = grams.withColumn("s", F.lit(0.0)), []
+    for k in range(order, 0, -1):
+        own = names[order - k :]
+        # Tables and documents grow alike, so both are shuffled.
+        table = known[k - 1].repartition(parts, *own).hint("merge")
+        hits = now.join(table, own).withColumn("p", F.when(F.col("own"), F.col("lp1")).otherwise(F.col("lp"))).where("p is not null")
+        found.append(cut(hits.groupBy("row").agg(F.sum(F.col("s") + F.col("p")).alias("s"), F.count("*").alias("n"))))
+        if k > 1:
+            named = table.withColumnsRenamed({c: f"_{c}" for c in own})
+            same = reduce(and_, [F.col(c) == F.col(f"_{c}") for c in own]) & (~F.col("own") | F.col("lp1").isNotNull())
+            missed = now.join(named, same, "left_anti").join(rests[k - 1], own[:-1], "left")
+            rest = F.coalesce(F.when(F.col("own"), F.col("rest1")).otherwise(F.col("rest")), F.lit(0.0))
+            now = cut(missed.select("row", "own", *own[1:], (F.col("s") + rest).alias("s")))
+    every = found[0]
+    for some in found[1:]:
+        every = every.unionByName(some)
+    return every.groupBy("row").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def judge(
     docs: DataFrame, labels: DataFrame, trusted: str = "quality = 1", key: str = "doc_id", text: str = "text", lang: str = "lang",
     order: int = ORDER, shard: int = SHARD, quantile: float = QUANTILE,
 ) -> DataFrame:
-    """(key, lang, n_grams, perplexity, threshold, kept) for each row of docs.
+    """(key, lang, n_grams, perplexity, threshold, kept) for each row of docs; n_grams counts words.
 
     Trusted are documents with a label for which ``trusted`` holds. Texts with fewer bytes
-    than the order, NULL texts among them, have no perplexity and are kept. A language
-    without trusted documents, or a NULL language, is held against the quantile over all;
-    without any trusted text everything is kept. Repeated rows are judged alike.
+    than the order or without words, NULL texts among them, have no perplexity and are kept.
+    A language without trusted documents, or a NULL language, is held against the quantile
+    over all; without any trusted text everything is kept. Repeated rows are judged alike.
     """
-    own = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    every = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
     ids = labels.where(trusted).where(F.col(key).isNotNull()).select(F.col(key).alias("_id")).distinct()
-    # Labels grow with the corpus: they are joined by shuffle whatever their size today.
-    counts = cut(counted(own.join(ids.hint("merge"), own["key"] == ids["_id"], "left_semi"), "text", order))
-    scored = None
-    n_shards = 0
     small_batches(docs.sparkSession)
-    for s in shards(counts, order, shard):
-        some = cut(_scored(own, s))
-        scored = some if scored is None else scored.unionByName(some)
-        n_shards += 1
-    if n_shards > 1:  # equal rows have equal sums
-        parts = scored.groupBy("key", "lang", "hash", "n").agg(F.sum("s").alias("s"), F.count("*").alias("c"))
-        copies = (F.col("c") / n_shards).cast("int")
-        scored = parts.select("key", "lang", "n", (F.col("s") / copies).alias("s"), F.explode(F.sequence(F.lit(1), copies)).alias("_c"))
-    judged = scored.select("key", "lang", "n", F.when(F.col("n") > 0, F.exp(-F.col("s") / F.col("n"))).alias("perplexity"))
-    good = judged.join(ids, judged["key"] == ids["_id"], "left_semi").where("perplexity is not null")
+    # Labels grow with the corpus: they are joined by shuffle whatever their size today.
+    marked = every.join(ids.hint("merge"), every["key"] == ids["_id"], "left").withColumn("own", F.col("_id").isNotNull())
+    own = cut(marked.drop("_id"))
+    good = own.where("own")
+    gap = " " * (SPELLING - 1)
+    spaced = good.select(F.concat(F.lit(gap), F.regexp_replace("text", SPACE, gap), F.lit(gap)).alias("text"))
+    (spelling,) = shards(cut(counted(spaced, "text")))
+    known, rests = word_model(word_grams(good, order), cut(spelt(own, spelling)), order)
+    scored = log_probabilities(word_grams(own, order), known, rests, order, shard)
+    # Repeated rows share their sums, which n evens out.
+    scored = scored.select(F.col("row").alias("_row"), "n", F.exp(-F.col("s") / F.col("n")).alias("perplexity"))
+    copies = own.groupBy("row").agg(F.count("*").alias("c"))
+    found = scored.join(copies, scored["_row"] == copies["row"]).select("_row", (F.col("n") / F.col("c")).cast("long").alias("n"), "perplexity")
+    judged = cut(own.select("key", "lang", "row", "own").join(found, F.col("row") == F.col("_row"), "left").select("key", "lang", "own", F.coalesce("n", F.lit(0)).alias("n"), "perplexity"))
+    good = judged.where("own and perplexity is not null")
     limit = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = good.where("lang is not null").groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_limit"))
     over_all = good.agg(limit).first()[0]

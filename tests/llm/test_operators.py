@@ -499,3 +499,39 @@ def test_toxicity(spark, docs, none):
     assert toxicity.keep_clean(none, known.limit(0)).count() == 0
     kept = toxicity.keep_clean(docs, known.limit(0))
     assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_quality_classifier_knows_the_order_of_words(spark):
+    """Trusted words in senseless order are rejected, though their bytes are those of good text."""
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "bdkl" for b in "aeiou" for c in "mnrst"]
+    follows = {w: rng.sample(vocabulary, 3) for w in vocabulary}
+
+    def say(n):
+        out = [rng.choice(vocabulary)]
+        while len(out) < n:
+            out.append(rng.choice(follows[out[-1]]))
+        return out
+
+    good = [say(80) for _ in range(200)]
+    mixed = [rng.sample(w, len(w)) for w in good[:20]]
+    texts = spark.createDataFrame([(i, " ".join(w), "en") for i, w in enumerate(good + mixed)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(150)], "doc_id long, quality int")
+    kept = {r["key"]: r["kept"] for r in ngram_quality.judge(texts, labels).collect()}
+    assert not any(kept[i] for i in range(200, 220))
+    assert sum(kept[i] for i in range(150)) >= 148
+
+
+def test_word_model_adds_up(spark):
+    """Probabilities of all known words after a context, and what is left for unknown ones, add up to 1."""
+    rng = random.Random(13)
+    vocabulary = ["a", "b", "c", "d", "e"]
+    good = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary) for _ in range(12))) for i in range(20)], "row long, text string").selectExpr("row", "true own", "text")
+    names = dict(zip(vocabulary + ["u"], ngram_quality._codes([w.encode() for w in vocabulary] + [b"u"]).tolist(), strict=True))
+    words = spark.createDataFrame([(w, math.log(1 / 6)) for w in names.values()], "w long, base double")
+    known, rests = ngram_quality.word_model(ngram_quality.word_grams(good, 3), words, 3)
+    contexts = [("a", "b"), ("u", "c"), ("u", "u")]
+    asked = spark.createDataFrame([(1000 + 10 * i + j, names[x], names[y], z) for i, (x, y) in enumerate(contexts) for j, z in enumerate(names.values())], "row long, w0 long, w1 long, w2 long").selectExpr("row", "false own", "w0", "w1", "w2")
+    got = {r["row"]: math.exp(r["s"]) for r in ngram_quality.log_probabilities(asked, known, rests, 3).collect()}
+    for i in range(len(contexts)):
+        assert sum(got[1000 + 10 * i + j] for j in range(6)) == pytest.approx(1)
