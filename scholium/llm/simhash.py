@@ -146,6 +146,29 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_cells(radius), "a long, b long")
 
 
+def _labels(fps: DataFrame) -> DataFrame:
+    """(fp, first, label) for each distinct fingerprint of (key, fp), with its smallest key."""
+    distinct = cut(fps.groupBy("fp").agg(F.min("key").alias("first")))
+    labels = components(cut(links(distinct.select("fp"))))
+    return cut(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(key, hash, label) for every row of docs (key, text): the hash of its text and the label of its component."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], ["key", "hash", "fp"])
+
+    kind = docs.schema["key"].dataType.simpleString()
+    hashed = docs.select("key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("hash"), "text")
+    fps = cut(hashed.mapInArrow(run, f"key {kind}, hash long, fp long"))
+    labels = _labels(fps.select("key", "fp")).select(F.col("fp").alias("_fp"), "label")
+    return cut(fps.join(labels, F.col("fp") == F.col("_fp")).select("key", "hash", "label"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component): component is the smallest key of the rows reachable over links.
 
@@ -154,23 +177,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     are NULL. Only distinct fingerprints are searched, so copies cost one entry.
     """
     fps = cut(fingerprints(docs, key, text))
-    distinct = cut(fps.groupBy("fp").agg(F.min("key").alias("first")))
-    labels = components(cut(links(distinct.select("fp"))))
-    labelled = distinct.join(labels, distinct["fp"] == labels["node"], "left").select(
-        "fp", "first", F.coalesce("label", "fp").alias("label")
-    )
-    labelled = cut(labelled)
-    least = labelled.groupBy("label").agg(F.min("first").alias("component"))
-    known = labelled.join(least, "label").select(F.col("fp").alias("_fp"), "component")
+    labels = _labels(fps)
+    least = labels.groupBy("label").agg(F.min("first").alias("component"))
+    known = labels.join(least, "label").select(F.col("fp").alias("_fp"), "component")
     return fps.join(known, F.col("fp") == F.col("_fp")).select("key", "fp", "component")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates: one with the group's smallest key.
 
-    Of several rows with that key, one stays. A group of NULL keys alone keeps one row.
+    Of several rows with that key in a group, one stays: that with the least hash of its
+    text. So does one of a group of NULL keys alone. Rows that share a key, NULL too, but
+    aren't near-duplicates are of different groups, and each group keeps its own.
     """
-    near = near_duplicates(docs, key, text).where(F.col("key").eqNullSafe(F.col("component")))
-    kept = cut(near.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")))
-    out = docs.join(kept.select("_key"), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return out if kept.where("n > 1").isEmpty() else out.dropDuplicates([key])
+    grouped = labelled(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    first = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
+    kept = cut(grouped.groupBy("label").agg(F.min(first).alias("_first")).select("_first.key", "_first.hash"))
+    found = kept.select(F.col("key").alias("_key"), F.col("hash").alias("_hash")).distinct()
+    mine = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+    out = docs.withColumn("_mine", mine).join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_mine") == F.col("_hash")), "left_semi")
+    copies = grouped.join(found, F.col("key").eqNullSafe(F.col("_key")) & (F.col("hash") == F.col("_hash")), "left_semi")
+    # Rows of one key and text differ in other columns at most.
+    repeated = not copies.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return (out.dropDuplicates([key, "_mine"]) if repeated else out).drop("_mine")

@@ -535,3 +535,15 @@ def test_word_model_adds_up(spark):
     got = {r["row"]: math.exp(r["s"]) for r in ngram_quality.log_probabilities(asked, known, rests, 3).collect()}
     for i in range(len(contexts)):
         assert sum(got[1000 + 10 * i + j] for j in range(6)) == pytest.approx(1)
+
+
+def test_keep_first_goes_by_component(spark):
+    """Rows that share a key, or have none, but aren't near copies stay; a copy goes, whatever else has its key."""
+    rng = random.Random(14)
+    say = lambda: " ".join(rng.choice(["ka", "lo", "mi", "nu", "pe", "ra", "si", "to"]) + str(rng.randrange(99)) for _ in range(60))
+    a, b, c, d, e = (say() for _ in range(5))
+    table = [(None, a), (None, b), (None, b), (1, c), (1, d), (None, c), (0, e), (2, e), (2, say()), (1, e), (3, None), (3, "")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_first(docs).collect()]
+    assert collections.Counter(x for x in got if x[1]) == collections.Counter([(None, a), (None, b), (1, c), (1, d), (0, e), table[8]])
+    assert len([x for x in got if not x[1]]) == 1
