@@ -143,8 +143,48 @@ def last_names_slug_udf(author: pd.Series, editor: pd.Series) -> pd.Series:
 # BibTeX text -------------------------------------------------------------------------
 
 #: Fields that say nothing about a work, and other names for fields that do; the first alias in an entry wins.
-DROPPED = frozenset("abstract annote bdsk-url-1 date-added date-modified eprint file keywords local-url mendeley-groups owner rating read timestamp xmonth".split())
-RENAMED = {"journaltitle": "journal", "location": "address", "institution": "school", "shorttitle": "shorttitle", "maintitle": "booktitle"}
+DROPPED = frozenset("""
+    date-added
+    abbrv abstract accessdate achilleos acmid added added-at addendum adsnote adsurl affiliation aiatsis_callnumber aiatsis_reference_language
+    alnumcodes altauthor alteditor annnote annotate annotation annote annotex announced anote archiveprefix articleno arxivid asjp_name
+    attachments author-transl author-translation bdsk-file-2 bdsk-file-3 bdsk-file-4 bdsk-file-5 bdsk-file-6 bdsk-file-7 bdsk-url bdsk-url-1
+    bdsk-url-2 bdsk-url-3 bdsk-url-4 bib bibsource biburl bilal book bookauthor booktitle1 booktitleaddon call-number cfn cited citedin
+    citeulike-article-id citeulike-linkout-0 class class_loc collaborator collection comment confdate copyright country creationdate day db
+    description dewey-call-number document_type double_booktitle ean editoratype editorb editorbtype editorx ee eid elocation-id email
+    entrysubtype eprinttype etc eventdate eventdatet eventvenue execute file fn fnnote groups hal_id hal_version homepage hyphenation
+    indexauthor interhash intrahash introduction issnx issue_date issue_year issueeditor issuesubtitle issuetitle itemartakarmat journalsubtitle
+    label langid language languoidbase_ids last_changed lastcheck lastchecked library library-id lid local-noopurl local-url longnote macro_area
+    mainsubtitle maintitle mendeley-groups misc modified month more-editors mpi_eva_library_shelf mpifn namea note_original noter notes nourl
+    oclcid oldhhfn optaddendum optaddress optannote optassress optauthor optbooktitle optchapter optcrossref optedition opteditor
+    opthowpublished options optisbn optissn optkey optlanguage optlocation optmonth optnote optnumber optorganization optpages optpublisher
+    optrelated optrelatedtype optschool optshorthand optstableurl optsubtitle opttitle opttitleaddon opttype opturldate optvolume optvolumes
+    optxref optyear orig_ origdate originalyear origlanguage origlocation origtitle origyear ozbib_id ozbibnote ozbibreftype paper
+    paperbackoptisbn pdf pmid posted-at postscript preis price primaryclass priority pubkey publication publisherx publishing pubstate quality
+    rating read refdb_id refid related relatedstring reprint research_area research_sub_area ris_reference_number risfield_0_bt sannote
+    seriestitle shortauthor shorteditor shorthand shorttitle size sorname sortauthor sortkey sorttitle sortyear source src sssauthor
+    sssbooktitle status subject subject_headings tags title_english titleaddon tppubtype trad translation translator typ types unidentified
+    unmatched-authority url_checked urlaccessdate urladte urldate urlday urldsate urlmonth urlpage urlx urlyear urlzip uselessnote utf_author
+    uuid venuedate verkauf vols volumes websitetitle xaddress xdoi xeditor xisbn xjournal xmonth xpublisher xurl xxxauthor yaddress yomi
+""".split())
+RENAMED = {alias: name for name, aliases in {
+    "address": "place adress city addres addresss dddress adderss addrss",
+    "author": "autor authauthor",
+    "booktitle": "booktitel bootitle booktile bookstitle bootktitle pooktitle",
+    "chapter": "chaper",
+    "editor": "editors autheditor editora eidtor editior",
+    "institution": "institutions",
+    "journal": "journaltitle shortjournal journa",
+    "lgcode": "iso_code",
+    "number": "numer numnber numbers",
+    "pages": "numpages numberofpages pagetotal page pgaes",
+    "publisher": "publishers publihers publihser publsher pubisher",
+    "school": "institute scshool scool",
+    "series": "serie optseries",
+    "subtitle": "substitle",
+    "title": "titel",
+    "url": "stableurl opturl",
+    "volume": "vol vollume",
+}.items() for alias in aliases.split()}
 GENRES = {"thesis": "phdthesis", "report": "techreport", "online": "misc", "electronic": "misc", "www": "misc", "mvbook": "book",
           "mvcollection": "collection", "inreference": "incollection", "periodical": "misc", "patent": "misc"}
 

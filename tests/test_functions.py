@@ -148,3 +148,49 @@ def test_article():
     assert (gloss.words, gloss.gloss, gloss.translation, gloss.comment) == (["wa²", "ti"], ["go", "PL"], "‘They go.’", "Doe: 7")
     assert gloss.refs == [("B1", "7")]
     assert jats.pages("Doe 2001: [3]: 4") == "(3): 4"
+
+
+#: Every field name that the reference maps, with its target; without one it is dropped.
+FIELDS = """
+journaltitle=journal ids=ids urldate= isbn=isbn subtitle=subtitle edition=edition type=type institution=institution shorttitle= month=
+howpublished=howpublished issn=issn abstract= booksubtitle=booksubtitle issue=issue organization=organization venue=venue langid= annote=
+annotation= language= numpages=pages stableurl=url addendum= shortauthor= chapter=chapter file= shortjournal=journal optaddress=
+call-number= sortyear= lgcode=lgcode options= namea= maintitle= acmid= pubstate= opturl=url translator= eprint=eprint related= alnumcodes=
+languoidbase_ids= numberofpages=pages day= bib= eventtitle=eventtitle optmonth= collaborator= optchapter= titleaddon= sortkey= serie=series
+optnote= editors=editor relatedstring= lastchecked= issuetitle= optannote= bdsk-url-2= autheditor=editor biburl= opturldate= bdsk-file-2=
+read= key=key bibsource= optkey= pagetotal=pages lccn=lccn origdate= sortauthor= optnumber= place=address issue_date= hyphenation=
+urlaccessdate= adress=address archiveprefix= version=version eid= optlocation= eprinttype= page=pages lid= chaper=chapter
+author-translation= rating= creationdate= opttype= bdsk-file-3= eventdate= price= booktitleaddon= collection= mendeley-groups= urlmonth=
+urlday= vol=volume optseries=series inlg=inlg macro_area= pmid= interhash= intrahash= oldhhfn= src= pdf= editora=editor editoratype=
+sorttitle= hhtype=hhtype city=address added-at= optaddendum= ozbib_id= volumes= hal_id= hal_version= bookauthor= xjournal= xpublisher=
+xeditor= opteditor= ee= ozbibreftype= pubkey= originalyear= optpublisher= journalsubtitle= citeulike-article-id= posted-at= shorthand=
+numer=number addres=address optxref= optvolume= groups= fn= annotate= aiatsis_callnumber= oclcid= url_checked= homepage= uselessnote=
+more-editors= publishers=publisher citedin= optcrossref= optedition= primaryclass= rights=rights yaddress= booktitel=booktitle typ=
+iso_code=lgcode olac_field=olac_field wals_code=wals_code oclc=oclc editorx= xisbn= aiatsis_code=aiatsis_code aiatsis_reference_language=
+accessdate= institutions=institution issue_year= book= research_area= urlpage= optpages= quality= author-transl= origlanguage=
+bootitle=booktitle bdsk-file-4= vols= optbooktitle= altauthor= optorganization= email= issuesubtitle= optvolumes= cfn= class_loc=
+document_type= mpi_eva_library_shelf= optauthor= notes= ozbibnote= asjp_name= indexauthor= urlx= reprint= optsubtitle= opttitle=
+mainsubtitle= issueeditor= anote= articleno= optschool= research_sub_area= urldsate= urlzip= origyear= postscript= editorbtype= nourl=
+optshorthand= execute= urladte= eventvenue= optrelated= optrelatedtype= seriestitle= optassress= db= tags= affiliation= ean= status=
+eidtor=editor publihers=publisher risfield_0_bt= paper= class= double_booktitle= numnber=number numbers=number publihser=publisher mpifn=
+subject_headings= announced= paperbackoptisbn= pgaes=pages added= refdb_id= booktitle1= addresss=address annotex= issnx= publisherx=
+venuedate= editior=editor priority= part=part dddress=address opttitleaddon= local-noopurl= annnote= publishing= utf_author= country=
+subject= publication= institute=school sannote= tppubtype= scshool=school preis= opthowpublished= lastcheck= bdsk-file-5= bdsk-file-6=
+bdsk-file-7= journa=journal source= unmatched-authority= dewey-call-number= library-id= size= etc= adderss=address addrss=address origtitle=
+origlocation= local-url= misc= longnote= uuid= introduction= entrysubtype= optissn= verkauf= optyear= adsnote= adsurl= titel=title
+optlanguage= publsher=publisher refid= websitetitle= booktile=booktitle arxivid= description= ris_reference_number= citeulike-linkout-0=
+eventdatet= bdsk-url-3= bdsk-url-4= sssauthor= sssbooktitle= optstableurl= itemartakarmat= yomi= substitle=subtitle bdsk-url= types= noter=
+orig_= title_english= alteditor= bookstitle=booktitle unidentified= sorname= scool=school bootktitle=booktitle note_original= abbrv=
+confdate= xdoi= xurl= editorb= label= vollume=volume trad= library= elocation-id= pooktitle=booktitle attachments= shorteditor= xxxauthor=
+pubisher=publisher translation= fnnote= autor=author modified= authauthor=author bdsk-url-1= optisbn= cited= comment= bilal= achilleos=
+xmonth= xaddress= last_changed= urlyear= copyright=
+"""
+
+
+def test_all_field_names():
+    known = dict(x.split("=") for x in FIELDS.split())
+    assert len(known) == 348
+    for name, target in known.items():
+        assert bib.to_source("k", "book", {name: "v"}, str)[2] == ({target: "v"} if target else {}), name
+        if target and target != name:
+            assert bib.to_source("k", "book", {name: "v", target: "w"}, str)[2] == {target: "w"}, name
