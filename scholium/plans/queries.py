@@ -353,7 +353,7 @@ def abbreviation_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def merge_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bibliography merge with similar titles: first lines of documents as titles, their sources as creators."""
-    title = F.substring(F.substring_index("text", "\n", 1), 1, 80)
+    title = F.substring_index("text", "\n", 1)
     rows = read(spark, sf_dir, "documents").select(
         F.concat_ws(":", "source", F.lit("99")).alias("key"), F.concat(F.lit("d"), "doc_id").alias("citekey"), F.lit("misc").alias("genre"),
         F.create_map(F.lit("title"), title).alias("fields"), T.norm_title(title).alias("title"), bib.slug_udf(title).alias("title_slug"),

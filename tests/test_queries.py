@@ -1,7 +1,10 @@
 """Every registered query of the library against its SQL."""
 
+import random
+
 import pytest
 
+from scholium.functions import bib
 from scholium.plans import queries
 from tests.compare import SF, same_rows
 
@@ -16,6 +19,29 @@ def test_query_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_merge_fuzzy_reads_whole_lines(spark, tmp_path):
+    """Against a plain merge: neighbours by slug join if their whole first lines are similar."""
+    rng = random.Random(1)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    head = " ".join(say(8) for _ in range(12))
+    rows = [(i, head + " " + " ".join(say(9) for _ in range(30)) + "\nrest", f"s{i % 2}") for i in range(8)]
+    rows += [(10 + i, rows[i][1].replace("\n", "x\n"), rows[i][2]) for i in range(3)] + [(20, rows[0][1], rows[0][2])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for source in ("s0", "s1"):
+        lines = sorted((bib.slug(line), line) for _, text, s in rows if s == source for line in [text.split("\n")[0]])
+        groups = []
+        for _, line in lines:
+            if groups and bib.similarity(groups[-1][-1], line) >= 92:
+                groups[-1].append(line)
+            else:
+                groups.append([line])
+        want += [(len(g), max(g, key=len)) for g in groups]
+    got = [(r["n"], r["title"]) for r in queries.QUERIES["merge_fuzzy"](spark, str(tmp_path)).collect()]
+    assert len(want) == 8
+    assert sorted(got) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
