@@ -42,6 +42,26 @@ def test_merge_fuzzy_reads_whole_lines(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def _without_comment(line):
+    """Letter by letter: up to the first % without a backslash before it, or up to a line break before %."""
+    at = line.find("\\\\%")
+    if at >= 0:
+        return line[:at] + "\\\\"
+    out = ""
+    for i, c in enumerate(line):
+        if c == "%" and line[i - 1 : i] != "\\":
+            break
+        out = out[:-1] + c if c == "%" else out + c
+    return out
+
+
+def test_comments_of_all_documents(spark, tmp_path):
+    texts = [None, "", "plain", "a % b", "50\\% of % x", "% all", "a \\\\% b", "a\\textbf{b}", "l1 % c\nl2", "x\\%%y", "a\\"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["line"] for r in queries.QUERIES["tex_comment_strip_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else _without_comment(t + "\\% x % y") for i, t in enumerate(texts)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
