@@ -38,7 +38,7 @@ def read_books(spark: SparkSession, root: str) -> Corpus:
     mains = books.main_files(texts)
     files = books.included(texts, mains)
     refs = bibliographies.read_bibtex(spark, root).withColumnRenamed("key", "sid")
-    cites = references.resolve_citations(books.citations(files).select("pub_id", "key"), refs)
+    cites = references.resolve_citations(books.citations(books.citing(texts, mains, files)).select("pub_id", "key"), refs)
     short = files.select("pub_id", "path", "name", "text").union(texts.where("name = 'abbreviations.tex'").select("pub_id", "path", "name", "text"))
     return Corpus(mains.select("pub_id"), refs, cites.select("pub_id", "sid"), books.examples(files), books.gloss_abbreviations(short))
 

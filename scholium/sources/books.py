@@ -57,6 +57,15 @@ def included(texts: DataFrame, mains: DataFrame) -> DataFrame:
     return files.join(found, ["pub_id", "base"]).groupBy("pub_id", "path").agg(F.first("name").alias("name"), F.first("text").alias("text"), F.min("file_ord").alias("file_ord"))
 
 
+def citing(texts: DataFrame, mains: DataFrame, files: DataFrame) -> DataFrame:
+    """(pub_id, path, text): included files, the main file and backmatter.tex beside it, each once."""
+    folder = lambda c: F.regexp_replace(c, r"[^/]*$", "")
+    main = texts.join(mains, ["pub_id", "path"], "left_semi")
+    places = mains.select("pub_id", F.concat(folder(F.col("path")), F.lit("backmatter.tex")).alias("path"))
+    more = main.union(texts.join(places, ["pub_id", "path"], "left_semi"))
+    return files.select("pub_id", "path", "text").union(more.select("pub_id", "path", "text")).dropDuplicates(["pub_id", "path"])
+
+
 def _citations(text: str) -> list[tuple]:
     return [(k.replace("–", "--").lower(),) for k in tex.citation_keys("\n".join(map(tex.strip_comment, text.split("\n"))))]
 

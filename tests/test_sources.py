@@ -109,3 +109,17 @@ def test_stream(spark, tmp_path):
         incremental.start(incremental.new_files(spark, str(tmp_path / "in"), "*.xml"), lambda rows, _: seen.extend(r["path"] for r in rows.select("path").collect()), str(tmp_path / "check")).awaitTermination()
         write(tmp_path, in__2_dot_xml=XML)
     assert [p.rsplit("/")[-1] for p in seen] == ["1.xml", "2.xml"]
+
+
+def test_books_cite_in_main_file_and_backmatter(spark, tmp_path):
+    from scholium.plans import corpus
+
+    (tmp_path / "1").mkdir()
+    entries = "".join(f"@book{{{k}, title = {{T {k}}}, year = 1999}}\n" for k in ("inmain", "inchapter", "inback", "nowhere"))
+    for name, text in {
+        "main.tex": "\\documentclass{book}\n\\include{chapter}\nSee \\citet{inmain}.\n", "chapter.tex": "See \\citet{inchapter}.\n",
+        "backmatter.tex": "See \\citet{inback}.\n", "other.tex": "See \\citet{nowhere}.\n", "all.bib": entries,
+    }.items():
+        (tmp_path / "1" / name).write_text(text)
+    got = corpus.read_books(spark, str(tmp_path)).citations.collect()
+    assert sorted(r["sid"] for r in got) == ["inback", "inchapter", "inmain"]
