@@ -20,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import small_batches
+from scholium.llm.common import small_batches, tidy
 from scholium.llm.packing import spaced
 
 #: Entries of each of a worker's two caches, of pieces and of chunks of text, and their longest entry.
-CACHE, CHUNK = 250_000, 48
+CACHE, CHUNK = 150_000, 32
 NONE = 1 << 60
 
 
@@ -246,7 +246,7 @@ def decoded(encoded: DataFrame, definition: bytes, pattern: str, ids: str = "ids
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded binary")
+    return encoded.mapInArrow(tidy(run), f"{fields}, decoded binary")
 
 
 def _mapped(docs, definition, pattern, key, text, columns, make) -> DataFrame:
@@ -263,4 +263,4 @@ def _mapped(docs, definition, pattern, key, text, columns, make) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["key", *names])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, {columns}")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, {columns}")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
-from functools import reduce
+import weakref
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,15 +37,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/scholium-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back.
 
     The result has no lineage to recompute and survives lost executors; unlike an RDD
-    checkpoint it is compressed, column-pruned and has statistics for the planner.
+    checkpoint it is compressed, column-pruned and has statistics for the planner. It
+    goes with discard(), or at the end of the application.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/scholium-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    if spark.sparkContext.applicationId not in _applications:
+        _applications.add(spark.sparkContext.applicationId)
+        atexit.register(_remove, spark, _folder(spark))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+_applications: set[str] = set()
+_paths: dict[int, str] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote; nothing that is still to run may read them."""
+    for df in tables:
+        if path := _paths.pop(id(df), None):
+            _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -47,10 +85,36 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small_batches(spark: SparkSession, rows: int = 512, megabytes: int = 16) -> None:
-    """Bounds what a Python worker holds of whole texts at a time, however long they are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker gets at a time in rows and bytes, however long texts are.
+
+    The bounds are the same for all operators, so plans that run later than they are made
+    find what they were made for.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, on a worker that gives its memory back when a task ends: workers stay for later tasks."""
+
+    @wraps(run)
+    def freed(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            release()
+
+    return freed
+
+
+def release() -> None:
+    """Gives free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import cut
+from scholium.llm.common import cut, discard
 
 MAX_ROUNDS = 100
 
@@ -38,7 +38,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(before, large)
     else:
         raise RuntimeError("components don't settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import SPACE, cut, small_batches
+from scholium.llm.common import SPACE, cut, small_batches, tidy
 
 #: Words of a gram, and bytes of one of the spelling model.
 ORDER, SPELLING = 3, 3
@@ -83,7 +83,7 @@ def counted(trusted: DataFrame, text: str, order: int = SPELLING) -> DataFrame:
             yield out(total)
 
     small_batches(trusted.sparkSession)
-    return trusted.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return trusted.select(text).mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts_of_counts: dict[int, int]) -> np.ndarray:
@@ -192,7 +192,7 @@ def word_grams(docs: DataFrame, order: int) -> DataFrame:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, n)), pa.array(np.repeat(flags, n)), *[pa.array(np.concatenate(g)) for g in got]], ["row", "own", *_columns(order)])
 
-    return docs.select("row", "own", "text").mapInArrow(run, "row long, own boolean, " + ", ".join(f"{c} long" for c in _columns(order)))
+    return docs.select("row", "own", "text").mapInArrow(tidy(run), "row long, own boolean, " + ", ".join(f"{c} long" for c in _columns(order)))
 
 
 def spelt(docs: DataFrame, model: Shard) -> DataFrame:
@@ -209,7 +209,7 @@ def spelt(docs: DataFrame, model: Shard) -> DataFrame:
                 s += np.bincount(at, model.log_probability(different)[codes], len(words))
             yield pa.RecordBatch.from_arrays([pa.array(_codes(words), pa.int64()), pa.array(s)], ["w", "base"])
 
-    return docs.select("text").mapInArrow(run, "w long, base double").groupBy("w").agg(F.min("base").alias("base"))
+    return docs.select("text").mapInArrow(tidy(run), "w long, base double").groupBy("w").agg(F.min("base").alias("base"))
 
 
 def _off(n: Column, d: np.ndarray) -> Column:

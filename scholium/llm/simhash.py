@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import cut, small_batches
+from scholium.llm.common import cut, small_batches, tidy
 from scholium.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, fp long")
 
 
 def _spanning(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -142,8 +142,7 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
         dealt = entries.join(hot, "cell", "left").select(
             "fp", "cell", "own", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(parts)).alias("part")
         )
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_cells(radius), "a long, b long")
+    return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(tidy(_cells(radius)), "a long, b long")
 
 
 def _labels(fps: DataFrame) -> DataFrame:
@@ -164,7 +163,7 @@ def labelled(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["key"].dataType.simpleString()
     hashed = docs.select("key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("hash"), "text")
-    fps = cut(hashed.mapInArrow(run, f"key {kind}, hash long, fp long"))
+    fps = cut(hashed.mapInArrow(tidy(run), f"key {kind}, hash long, fp long"))
     labels = _labels(fps.select("key", "fp")).select(F.col("fp").alias("_fp"), "label")
     return cut(fps.join(labels, F.col("fp") == F.col("_fp")).select("key", "hash", "label"))
 

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import cut, small_batches
+from scholium.llm.common import cut, small_batches, tidy
 
 WIDTH, GRAM = 50, 20
 #: Bytes of text handled at a time, and anchors that a task gathers before it combines and sends them.
@@ -383,20 +383,20 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     if not 16 <= gram < width <= 128:
         raise ValueError("16 <= gram < width <= 128")
     spark = docs.sparkSession
-    small_batches(spark, rows=8192, megabytes=8)
+    small_batches(spark)
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     k, tag = _keyed(docs, key, data)
     texts = docs.select(k.alias("k"), data.alias("data"), tag.alias("tag"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = texts.mapInArrow(_cells(width, gram, RANGES * parts), "range int, block binary").repartition(parts, "range")
-    rows = blocks.mapInArrow(_opened, "h long, c long, k long, place long").sortWithinPartitions("h", "c", "k")
-    found = cut(rows.mapInArrow(_reduced, "k long, span long, ask boolean"))
+    blocks = texts.mapInArrow(tidy(_cells(width, gram, RANGES * parts)), "range int, block binary").repartition(parts, "range")
+    rows = blocks.mapInArrow(tidy(_opened), "h long, c long, k long, place long").sortWithinPartitions("h", "c", "k")
+    found = cut(rows.mapInArrow(tidy(_reduced), "k long, span long, ask boolean"))
     # Both uses of the texts by key below are one exchange.
     dealt = texts.repartition(parts, "k", "tag")
     asked = _listed(found.where("ask"), "asked")
     cells = dealt.join(asked, [dealt["k"] == asked["_k"], dealt["tag"] == asked["_tag"]])
-    cells = cells.select("k", "data", "tag", "asked").mapInArrow(_asked(width, gram), "h long, c long, k long, place long, cell binary")
-    settled = cells.repartition("h").sortWithinPartitions("h").mapInArrow(_settled(width), "k long, span long")
+    cells = cells.select("k", "data", "tag", "asked").mapInArrow(tidy(_asked(width, gram)), "h long, c long, k long, place long, cell binary")
+    settled = cells.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_settled(width)), "k long, span long")
     spans = found.where("not ask").select("k", "span").union(settled)
     return dealt, _listed(spans, "spans")
 
@@ -427,7 +427,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return (
         dealt.join(spans, [dealt["k"] == spans["_k"], dealt["tag"] == spans["_tag"]], "left")
         .select("k", "data", "spans")
-        .mapInArrow(_digested, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        .mapInArrow(tidy(_digested), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
 
 
@@ -449,5 +449,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     k, tag = _keyed(docs, key, data)
     joined = docs.withColumn("_data", F.col(text).cast("binary")).join(spans, [k == spans["_k"], tag == spans["_tag"]], "left")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text)
-    out = joined.select(*rest, "_data", F.col("spans").alias("_spans")).mapInArrow(_cleaned, f"{fields}_text string")
+    out = joined.select(*rest, "_data", F.col("spans").alias("_spans")).mapInArrow(tidy(_cleaned), f"{fields}_text string")
     return out.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in docs.columns])
