@@ -14,14 +14,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import product
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from scholium.llm.common import cut, small_batches
+from scholium.llm.common import cut, small_batches, tidy
 
 #: Categories in order of the chain, each with the condition on the labels that makes it positive.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
@@ -38,14 +40,14 @@ PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 
 
 def features(token: str) -> list[str]:
-    """What a word shows: itself in lower case, its first 4, 5 and 6 letters, its punctuation of two or more."""
+    """What a word shows: itself in lower case, its beginnings of 4, 5 and 6 letters, its punctuation of two or more."""
     core = token.strip(PUNCTUATION)
     out = []
     if len(core) < len(token) and (marks := token.replace(core, "", 1) if core else token) and len(marks) > 1:
-        out.append("/" + marks[:4])
+        out.append("/" + marks)
     if core:
         low = core.lower()
-        out.append("=" + low[:40])
+        out.append("=" + low)
         out += [f"{n}{low[:n]}" for n in (4, 5, 6) if len(low) >= n]
         if len(core) > 1 and core.isupper():
             out.append("/A")
@@ -124,9 +126,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, categorie
     """(id, text, one flag for each category) of the sample. Ids with several labels have each that one of them gives."""
     flags = [F.max(F.expr(f"cast({rule} as int)")).alias(f"c{i}") for i, (_, rule) in enumerate(categories)]
     each = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(*flags).na.drop()
-    strata = W.partitionBy(*[f"c{i}" for i in range(len(categories))]).orderBy(F.xxhash64("_id"), "_id")
-    some = each.withColumn("_n", F.row_number().over(strata)).where(F.col("_n") <= sample).drop("_n")
-    some = F.broadcast(cut(some))  # at most sample rows for each combination of categories
+    each = cut(each)
+    names = [f"c{i}" for i in range(len(categories))]
+    # A top-k for each combination, 2 ** categories of them: no task sees more than the sample of any.
+    parts = [
+        each.where(reduce(and_, [F.col(c) == v for c, v in zip(names, values, strict=True)])).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+        for values in product((0, 1), repeat=len(names))
+    ]
+    some = F.broadcast(cut(reduce(DataFrame.union, parts)))  # at most sample rows for each combination
     own = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return own.join(some, own["_key"] == some["_id"]).select("_id", "text", *[f"c{i}" for i in range(len(categories))])
 
@@ -147,7 +154,7 @@ def learn(
 ) -> Chain:
     """Trains a chain on the labelled documents. Without any labels it predicts nothing."""
     spark = docs.sparkSession
-    small_batches(spark, rows=256, megabytes=8)
+    small_batches(spark)
     flags = [f"c{i}" for i in range(len(categories))]
     chosen = cut(_labelled(docs, labels, key, text, categories, sample))
 
@@ -156,7 +163,7 @@ def learn(
             lists = [sorted({f for t in set(x.split()) for f in features(t)}) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), *batch.columns[1:]], ["found", *flags])
 
-    found = chosen.select("text", *flags).mapInArrow(each, "found array<string>, " + ", ".join(f"{c} int" for c in flags))
+    found = chosen.select("text", *flags).mapInArrow(tidy(each), "found array<string>, " + ", ".join(f"{c} int" for c in flags))
     sums = [F.sum(c).alias(c) for c in flags]
     totals = chosen.agg(F.count("*").alias("n"), *sums).first()
     counts = cut(
@@ -207,40 +214,54 @@ def _present(chosen: DataFrame, index: dict[str, int]) -> list:
             at = pa.array([find(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([at, *batch.columns[2:]], ["at", *flags])
 
-    return chosen.mapInArrow(run, "at array<int>, " + ", ".join(f"{c} int" for c in flags)).collect()
+    return chosen.mapInArrow(tidy(run), "at array<int>, " + ", ".join(f"{c} int" for c in flags)).collect()
 
 
-def scored(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """docs with a column p_<category> for each category and <category>, whether it is predicted.
+def verdicts(text: Column, chain: Chain, spark: SparkSession) -> Column:
+    """struct(p_<category> double, ..., <category> boolean, ...) of a text; NULL and empty texts show no features.
 
-    A NULL or empty text shows no features. All rows and columns stay; a column of the
-    input with one of these names is replaced.
+    Only texts go to the Python worker; all else of a row stays on the JVM.
     """
-    small_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(chain)  # bounded by FEATURES
-    new = [f"p_{n}" for n in chain.names] + list(chain.names)
-    rest = [c for c in docs.columns if c not in new]
+    small_batches(spark)
+    shipped = spark.sparkContext.broadcast(chain)  # bounded by FEATURES
+    names = [f"p_{n}" for n in chain.names] + list(chain.names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         chain = shipped.value
         find = _finder(chain.index)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            present = np.zeros((len(texts), len(chain.index)))
+            texts = batch.to_pylist()
+            present = np.zeros((len(texts), len(chain.index)), np.float32)
             for i, t in enumerate(texts):
                 if t:
                     present[i, find(t)] = 1
             p = chain.probabilities(present)
             cols = [pa.array(p[:, j]) for j in range(p.shape[1])] + [pa.array(p[:, j] >= t) for j, t in enumerate(chain.thresholds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *new])
+            yield pa.StructArray.from_arrays(cols, names)
 
-    own = docs.select(*rest)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema]
-    fields += [f"`p_{n}` double" for n in chain.names] + [f"`{n}` boolean" for n in chain.names]
-    return own.mapInArrow(run, ", ".join(fields))
+    kinds = [f"`p_{n}` double" for n in chain.names] + [f"`{n}` boolean" for n in chain.names]
+    each = tidy(run)
+    each.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(each, ", ".join(kinds))(text)
+
+
+def scored(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+    """docs with a column p_<category> for each category and <category>, whether it is predicted.
+
+    A NULL or empty text shows no features. All rows stay, repeated ones too, and an empty
+    table gives an empty result; ties at a threshold are predicted. A column of the input
+    with one of the new names is replaced; keep_clean() replaces none.
+    """
+    new = [f"p_{n}" for n in chain.names] + list(chain.names)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")).withColumn("v", verdicts(F.col("text"), chain, docs.sparkSession))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], *[F.col("v").getField(c).alias(c) for c in new])
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", category: str = "toxic") -> DataFrame:
-    """The rows of docs that aren't predicted to be of the category, as they are."""
+    """The rows of docs that aren't predicted to be of the category, with all their columns as they are.
+
+    Whatever the columns are called, none is touched. Rows without text stay, as they show nothing.
+    """
     chain = learn(docs, labels, key, text)
-    return scored(docs, chain, text).where(~F.col(category)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")).withColumn("v", verdicts(F.col("text"), chain, docs.sparkSession))
+    return rows.where(~F.col("v").getField(category)).select("row.*")
