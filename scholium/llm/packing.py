@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import cut, ranked, small_batches
+from scholium.llm.common import cut, ranked, small_batches, tidy
 
 WINDOW = 2048
 END_ID = 1
 #: Entries of a worker's cache of encoded chunks, each of CHUNK characters at most; others are encoded again.
-CACHE, CHUNK = 500_000, 48
+CACHE, CHUNK = 200_000, 32
 
 
 #: How byte-level BPE splits a text before its merges.
@@ -58,28 +59,43 @@ class CachedTokenizer:
 
     The pre-tokenizer of byte-level BPE never joins what a space parts, if what precedes
     the space isn't white space itself: such chunks are encoded once and kept. Other
-    texts are encoded whole. Strings of special tokens are ordinary text. Definitions of
-    plain byte-level BPE, whose ids are ranks, are run by tiktoken, which gives the same
-    ids in a fraction of the time; others by the library itself.
+    texts are encoded whole. Definitions of plain byte-level BPE, whose ids are ranks, are
+    run by tiktoken, which gives the same ids in a fraction of the time; others by the
+    library itself. So are texts that hold the string of an added token, which the
+    library gives the id of that token.
     """
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.cache: dict[str, bytes] = {}
-        ranks = ranks_of(json.loads(definition))
+        self.definition, self.cache, self._library = definition, {}, None
+        read = json.loads(definition)
+        added = [t["content"] for t in read.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
+        ranks = ranks_of(read)
         if ranks:
             import tiktoken
 
             ordinary = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             self._encode = lambda texts: [array("I", ordinary(t)).tobytes() for t in texts]
         else:
+            self._encode = self.by_library
+
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        if self._library is None:
             from tokenizers import Tokenizer
 
-            plain = Tokenizer.from_str(definition)
-            plain.encode_special_tokens = True
-            self._encode = lambda texts: [array("I", e.ids).tobytes() for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+            self._library = Tokenizer.from_str(self.definition)
+        return [array("I", e.ids).tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        special = [i for i, t in enumerate(texts) if self.added(t)]
+        if special:
+            own = dict(zip(special, self.by_library([texts[i] for i in special]), strict=True))
+            rest = iter(self._plain([t for i, t in enumerate(texts) if i not in own]))
+            return [own[i] if i in own else next(rest) for i in range(len(texts))]
+        return self._plain(texts)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         cut_up = [spaced(t) for t in texts]
         cache = self.cache
         new = list({c for chunks in cut_up if chunks for c in chunks if c not in cache})
@@ -113,7 +129,7 @@ def pieces(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
 
     A document is its text's ids and END_ID; a NULL text is empty and has END_ID alone.
     """
-    small_batches(docs.sparkSession, rows=1024, megabytes=8)
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(definition)  # one file of fixed size
     kind = docs.schema[key].dataType.simpleString()
 
@@ -133,8 +149,7 @@ def pieces(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
                 [batch.column(0).take(cols[0]), *cols[1:]], ["key", "start", "length", "ids_crc32", "doc_tokens"]
             )
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        run, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     )
 
 
@@ -164,7 +179,14 @@ def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
 
 
 def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, dict[int, int]]]:
-    """Fillings as (repeats, {length: copies}) that use up a histogram of lengths up to window."""
+    """Fillings as (repeats, {length: copies}) that use up a histogram of lengths up to window.
+
+    Their number has a bound that only the window sets. A filling is repeated until a
+    length it has n copies of, n at most window / length, has fewer than n left; the same
+    length can end as many fillings after that as it has copies left. So there are at
+    most the sum over all lengths of 1 + window / length: about 18,000 for a window of 2048,
+    however many documents there are.
+    """
     left, out = {k: n for k, n in histogram.items() if n}, []
     while left:
         longest = max(left)
@@ -188,7 +210,8 @@ def pack(
 
     Sequence ids are gapless from 0, offsets gapless in each sequence. Only sequences that
     no filling of the lengths left can complete fall short of the window. Rows with equal
-    keys are packed as documents of their own; an empty table gives an empty result.
+    keys are packed as documents of their own; an empty table gives an empty result. A NULL
+    or empty text is END_ID alone. Columns of the input other than key and text aren't read.
     """
     cutout = cut(pieces(docs, definition, key, text, window))
     histogram = {r[0]: r[1] for r in cutout.groupBy("length").count().collect()}  # at most window rows
@@ -201,7 +224,7 @@ def pack(
             ranks[length] += times * fill[length]
             offset += length * fill[length]
         sequence += times
-    shipped = docs.sparkSession.sparkContext.broadcast(runs)  # bounded by the fillings of one window
+    shipped = docs.sparkSession.sparkContext.broadcast(runs)  # bounded by plan()'s number of fillings
     placed = ranked(cutout, ["length"], ["key", "start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +242,5 @@ def pack(
             out = [batch.column(c) for c in batch.schema.names if c != "rank"]
             names = [c for c in batch.schema.names if c != "rank"]
             yield pa.RecordBatch.from_arrays([*out, pa.array(sequences), pa.array(offsets)], [*names, "sequence_id", "offset"])
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cutout.schema)
-    return placed.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return placed.mapInArrow(tidy(run), f"{fields}, sequence_id long, offset long")

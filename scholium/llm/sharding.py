@@ -84,6 +84,7 @@ def shard(
     shard, even where they outweigh an even share; repeated rows each get a slot. Slots
     are gapless from 0 in each shard, in order of group and key. No text is shuffled:
     groups meet by SHA-256, counted before the shuffle, so a hot group costs one row a task.
+    An empty table gives an empty result; other columns of the input aren't read.
     """
     if shards < 1:
         raise ValueError("at least one shard")
@@ -100,7 +101,8 @@ def shard(
     groups = ranked(groups, ["total"], ["content"])
     groups = cut(groups)
     plan = schedule(groups.groupBy("total").agg(F.count("*").alias("n")), shards)
-    placed = groups.join(plan, "total").select(
+    # The plan has a row for each different size and may grow: it is never a broadcast.
+    placed = groups.join(cut(plan).hint("merge"), "total").select(
         "content", F.size(F.filter("until", lambda u: u <= F.col("rank"))).alias("shard")
     )
     put = rows.join(placed, "content")
