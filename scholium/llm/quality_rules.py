@@ -76,30 +76,34 @@ def _repeated(tokens: Column) -> Column:
     return F.when(n < 4, F.lit(0).cast("long")).otherwise(_bind(windows, counted))
 
 
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed); row is a struct of all columns.
 
     A NULL or empty text has no words and fails. Lines are split at line feeds only; a
     line counts as repeated if it has a word and equals an earlier one.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("t"), F.lit(""))
     full = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     return (
-        docs.withColumn("_words", words(F.col(text)))
-        .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+        docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("t"))
+        .withColumn("w", words(F.col("t")))
+        .withColumn("n_words", F.size("w").cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("w", "")).cast("long"))
         .withColumn("n_symbols", F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long"))
         .withColumn("n_dup_lines", _bind(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("n_repeat_words", repeated_words(F.col("_words")))
+        .withColumn("n_repeat_words", repeated_words(F.col("w")))
         .withColumn(
             "base_failed",
             (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         )
-        .drop("_words")
+        .select("row", *MEASURES)
     )
 
 
-def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
+def host_rates(measured: DataFrame, host: str = "host") -> DataFrame:
     """A row for each host: n_docs, n_failed, the prior's alpha and beta, rate, host_kept.
 
     The prior fits mean and variance of the hosts' rates, less the variance that sampling
@@ -135,33 +139,30 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     kept is false for documents that fail the base rules or whose host is rejected.
     Documents without a host (NULL) are one host. Repeated rows are judged as often as
     they come; an empty table gives an empty result. Columns of the input other than
-    those in ``keep`` (default: doc_id) aren't carried, so none can clash.
+    those in ``keep`` (default: doc_id) aren't carried; rows travel as structs, so none can clash.
 
     Measures are written once and read twice, for the hosts and for the verdicts; the
     join carries no text. Catalyst broadcasts the hosts if they are few and else joins
     by shuffle, where AQE splits a hot host.
     """
     keep = keep or ["doc_id"]
-    cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    slim = docs.select(*keep, F.col(text).alias("_text"), F.col(host).alias("_host"))
-    measured = cut(measure(slim, "_text").select(*keep, "_host", *cols))
-    hosts = host_rates(measured, "_host").select(F.col("host").alias("_h"), "rate", "host_kept")
-    return measured.join(hosts, F.col("_host").eqNullSafe(F.col("_h")), "left").select(
-        *keep, *cols, F.col("rate").alias("host_rate"),
+    measured = measure(docs, text).select(F.struct(*[F.col("row").getField(c).alias(c) for c in keep]).alias("row"), F.col("row").getField(host).alias("host"), *MEASURES)
+    measured = cut(measured)
+    hosts = host_rates(measured).select(F.col("host").alias("_h"), "rate", "host_kept")
+    return measured.join(hosts, F.col("host").eqNullSafe(F.col("_h")), "left").select(
+        *[F.col("row").getField(c).alias(c) for c in keep], *MEASURES, F.col("rate").alias("host_rate"),
         (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns.
+    """The rows of docs that judge() keeps, with all their columns, whatever they are called.
 
-    Base rules are applied where a row is read, so that no text is shuffled; only the
-    rejected hosts are joined, by broadcast if Catalyst finds them few.
+    Texts are measured once: rows that pass are written with their host, the others as
+    their host alone. Only the rejected hosts are joined, by broadcast if Catalyst finds
+    them few and else by shuffle.
     """
-    slim = docs.select(F.col(text).alias("_text"), F.col(host).alias("_host"))
-    hosts = host_rates(cut(measure(slim, "_text").select("_host", "base_failed")), "_host")
-    rejected = cut(hosts.where(~F.col("host_kept")).select(F.col("host").alias("_h")))
-    kept = docs.select("*", F.col(text).alias("_text"))
-    kept = measure(kept.select(F.struct(*docs.columns).alias("_row"), "_text"), "_text").where(~F.col("base_failed"))
-    kept = kept.select("_row.*")
-    return kept.join(rejected, kept[host].eqNullSafe(rejected["_h"]), "left_anti")
+    rows = measure(docs, text).select(F.when(~F.col("base_failed"), F.col("row")).alias("row"), F.col("row").getField(host).alias("host"), "base_failed")
+    rows = cut(rows)
+    rejected = cut(host_rates(rows).where(~F.col("host_kept")).select(F.col("host").alias("_h")))
+    return rows.where(~F.col("base_failed")).join(rejected, F.col("host").eqNullSafe(F.col("_h")), "left_anti").select("row.*")
