@@ -12,6 +12,7 @@ the nearest by angle is the nearest by product; it is used for the trees only.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scholium.llm.common import cut
+from scholium.llm.common import cut, small_batches, tidy
 
 #: Vectors the forest is fitted on, at most.
 SAMPLE = 65_536
@@ -30,6 +31,8 @@ SAMPLE = 65_536
 TREES, LEAVES, PROBES = 8, 64, 104
 #: Vectors of a leaf that are compared at a time.
 BLOCK = 4096
+#: Queries that one task holds; if there are more, every leaf's are dealt to several tasks.
+QUERIES = 65_536
 
 
 class Forest:
@@ -117,49 +120,59 @@ def _scored(q: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def _reranked(k: int):
-    """Over rows (leaf, kind, id, vec) sorted by (leaf, kind), queries first: each query's k + 1 best of each block."""
+    """Over rows (leaf, part, kind, id, j, vec) sorted by the first three, queries first: each query's k + 1 best of each block.
 
-    def best(qi, qv, pi, pv) -> pa.RecordBatch:
+    A part has QUERIES queries or so, which are held; the points pass by in blocks.
+    """
+
+    def best(qi, qj, qv, pi, pj, pv) -> pa.RecordBatch:
         near = qv @ pv.T
-        n = min(k + 1, len(pi))
+        order = np.argsort(pi, kind="stable")
+        start = np.flatnonzero(np.r_[True, np.diff(pi[order]) != 0])
+        by_key = near if len(start) == len(pi) else np.maximum.reduceat(near[:, order], start, axis=1)
+        n = min(k + 1, len(start))
         # Rounding may swap candidates that are equal or nearly so: all within it are scored exactly.
-        floor = np.partition(near, -n, axis=1)[:, -n] - 1e-9 * (1 + np.abs(near).max(axis=1))
+        floor = np.partition(by_key, -n, axis=1)[:, -n] - 1e-9 * (1 + np.abs(near).max(axis=1))
         r, c = np.nonzero(near >= floor[:, None])
         score = np.concatenate([_scored(qv[r[i : i + 65536]], pv[c[i : i + 65536]]) for i in range(0, len(r), 65536)])
+        if len(start) < len(pi):  # of a key's vectors that no other key has, the nearest
+            order = np.lexsort((-score, pi[c], r))
+            r, c, score = r[order], c[order], score[order]
+            own = np.r_[True, (r[1:] != r[:-1]) | (pi[c][1:] != pi[c][:-1])] | (pj[c] > 0)
+            r, c, score = r[own], c[own], score[own]
         order = np.lexsort((pi[c], -score, r))
         r, c, score = r[order], c[order], score[order]
-        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        keep = np.arange(len(r)) - first[np.cumsum(np.r_[True, r[1:] != r[:-1]]) - 1] <= k
-        return pa.RecordBatch.from_arrays([pa.array(qi[r[keep]]), pa.array(pi[c[keep]]), pa.array(score[keep])], ["q", "id", "score"])
+        new = np.r_[True, r[1:] != r[:-1]]
+        # Vectors that several keys have don't count: they may all be of one key.
+        before = np.cumsum(pj[c] < 0) - (pj[c] < 0)
+        keep = before - before[new][np.cumsum(new) - 1] <= k
+        r, c = r[keep], c[keep]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (qi[r], qj[r], pi[c], pj[c], score[keep])], ["q", "qj", "id", "j", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, qi, qv, pi, pv = None, [], [], [], []
+        place, held = None, ([], [])  # columns (id, j, vec) of queries and of points
 
         def points() -> Iterator[pa.RecordBatch]:
-            if pi and qi:
-                q, v, i, p = np.concatenate(qi), np.concatenate(qv), np.concatenate(pi), np.concatenate(pv)
-                for a in range(0, len(q), BLOCK):
-                    for b in range(0, len(i), BLOCK):
-                        yield best(q[a : a + BLOCK], v[a : a + BLOCK], i[b : b + BLOCK], p[b : b + BLOCK])
-            pi.clear()
-            pv.clear()
+            if held[0] and held[1]:
+                q, p = ([np.concatenate(x) for x in zip(*rows, strict=True)] for rows in held)
+                for a in range(0, len(q[0]), BLOCK):
+                    for b in range(0, len(p[0]), BLOCK):
+                        yield best(*(x[a : a + BLOCK] for x in q), *(x[b : b + BLOCK] for x in p))
+            held[1].clear()
 
         for batch in batches:
-            leaves, kinds, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            vectors = _matrix(batch.column(3))
+            leaves, parts, kinds, ids, j = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            vectors = _matrix(batch.column(5))
             if not len(leaves):
                 continue
-            edge = np.flatnonzero(np.r_[True, (leaves[1:] != leaves[:-1]) | (kinds[1:] != kinds[:-1])])
+            edge = np.flatnonzero(np.r_[True, (leaves[1:] != leaves[:-1]) | (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])])
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(leaves)], strict=True):
-                if leaves[a] != leaf:
+                if (leaves[a], parts[a]) != place:
                     yield from points()
-                    leaf = leaves[a]
-                    qi.clear()
-                    qv.clear()
-                ids_to, vectors_to = (pi, pv) if kinds[a] else (qi, qv)
-                ids_to.append(ids[a:b])
-                vectors_to.append(vectors[a:b])
-                if sum(map(len, pi)) >= BLOCK:  # a leaf's points pass in blocks, however many they are
+                    place = leaves[a], parts[a]
+                    held[0].clear()
+                held[kinds[a]].append((ids[a:b], j[a:b], vectors[a:b]))
+                if sum(len(x[0]) for x in held[1]) >= BLOCK:  # a leaf's points pass in blocks, however many they are
                     yield from points()
         yield from points()
 
@@ -173,35 +186,39 @@ def search(
     """(query_id, rank, vec_id, score): the k nearest of each row that ``queries`` holds for, itself excluded.
 
     Nearest is the largest inner product, ties to the smaller key; fewer rows if there are
-    no more. Rows that are not usable(), or not as long as most vectors (ties: the longer), take no part; an
-    empty table gives an empty result. Equal vectors are searched once and stand for each
-    other, with their k + 1 smallest keys, so a very common vector costs one entry. Rows
-    with equal keys and vectors are one candidate.
+    no more. Rows that are not usable() take no part; an empty table gives an empty result.
+    Vectors that are shorter than others count as if filled up with zeros. Equal vectors
+    are searched once and stand for each other, with their k + 1 smallest keys, so a very
+    common vector costs one entry. A key with several vectors is one query and one
+    candidate, as near as its nearest pair of vectors. NULL keys take no part.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     good = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vec"), queries.alias("asks")).where(usable(F.col("vec")) & F.col("id").isNotNull())
-    sizes = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    wide = good.agg(F.max(F.size("vec"))).first()[0]
     schema = f"query_id {dict(vectors.dtypes)[key]}, rank int, vec_id {dict(vectors.dtypes)[key]}, score double"
-    if not sizes:
+    if not wide:
         return spark.createDataFrame([], schema)
+    zero = F.lit(0).cast(vectors.schema[vector].dataType.elementType)
+    good = good.withColumn("vec", F.when(F.size("vec") < wide, F.concat("vec", F.array_repeat(zero, wide - F.size("vec")))).otherwise(F.col("vec")))
+    base = cut(good.withColumn("h", F.xxhash64("vec")).distinct())
+    # A distinct vector goes by its smallest key, and by j among those that have the same one, as
+    # keys may be repeated; j is below 0 if no other key has the vector.
+    firsts = base.groupBy("h", "vec").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    j = F.row_number().over(W.partitionBy("rep").orderBy("h", "vec"))
+    reps = cut(firsts.withColumn("j", F.when(F.col("rep") == F.col("last"), -j).otherwise(j)).drop("last"))
     alike = W.partitionBy("h", "vec").orderBy("id")
-    base = cut(good.where(F.size("vec") == sizes[0][0]).withColumn("h", F.xxhash64("vec")).distinct())
     # A key may be both asked for and not, in repeated rows: it stands for itself once.
-    members = cut(
-        base.select("h", "vec", "id").distinct()
-        .select("h", "vec", "id", F.row_number().over(alike).alias("n"), F.min("id").over(alike).alias("rep"))
-        .where(F.col("n") <= k + 1)
-    )
-    reps = members.where("n = 1").select("id", "vec", "h")
+    rows = base.select("h", "vec", "id").distinct().withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1).drop("n")
+    members = cut(rows.join(reps, ["h", "vec"]).select("rep", "j", "id"))
     longest = reps.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0]
-    fitted = _matrix(pa.Table.from_batches(reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow().to_batches()).column(0).combine_chunks())
+    fitted = _matrix(pa.Table.from_batches(reps.orderBy(F.xxhash64("rep"), "rep", "j").limit(sample).select("vec").toArrow().to_batches()).column(0).combine_chunks())
     forest = Forest(_lifted(fitted, longest), trees, -(-len(fitted) // leaves), seed)
     shipped = spark.sparkContext.broadcast(forest)  # bounded by the sample
 
-    asked = base.where("asks").select(F.col("id").alias("query_id"), "h", "vec")
-    asks = asked.select("h", "vec").distinct().join(reps, ["h", "vec"]).select("id", "vec", F.lit(0).alias("kind"))
-    rows = asks.unionByName(reps.select("id", "vec", F.lit(1).alias("kind")))
+    asked = cut(base.where("asks").select(F.col("id").alias("query_id"), "h", "vec").distinct().join(reps, ["h", "vec"]).select("query_id", "rep", "j"))
+    asks = asked.select("rep", "j").distinct().join(reps, ["rep", "j"])
+    parts = max(1, -(-asked.count() // QUERIES))
+    kinds = asks.select("rep", "j", "vec", F.lit(0).alias("kind")).union(reps.select("rep", "j", "vec", F.lit(1).alias("kind")))
     element = vectors.schema[vector].dataType.simpleString()
     id_kind = dict(vectors.dtypes)[key]
 
@@ -209,15 +226,17 @@ def search(
         forest = shipped.value
         children = forest.children.tolist()
         for batch in batches:
-            points, kinds = _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+            points, kinds = _matrix(batch.column(2)), batch.column(3).to_numpy(zero_copy_only=False)
             if not len(kinds):
                 continue
-            at, leaves = [], []
+            at, leaves, part = [], [], []
             own = np.flatnonzero(kinds == 1)
             if len(own):
                 found = forest.place(_lifted(points[own], longest))
-                at.append(np.repeat(own, found.shape[1]))
-                leaves.append(found.ravel())
+                for i in range(parts):  # every part of a leaf's queries meets all its points
+                    at.append(np.repeat(own, found.shape[1]))
+                    leaves.append(found.ravel())
+                    part.append(np.full(found.size, i))
             own = np.flatnonzero(kinds == 0)
             for i in range(0, len(own), 64):
                 some = own[i : i + 64]
@@ -226,26 +245,27 @@ def search(
                     found = forest.probe(m, probes, children)
                     at.append(np.full(len(found), r))
                     leaves.append(np.array(found, np.int64))
-            rows, leaves = pa.array(np.concatenate(at)), np.concatenate(leaves)
+                    part.append(np.full(len(found), zlib.crc32(points[r].tobytes()) % parts))
+            rows = pa.array(np.concatenate(at))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaves), batch.column(2).take(rows), batch.column(0).take(rows), batch.column(1).take(rows)],
-                ["leaf", "kind", "id", "vec"],
+                [pa.array(np.concatenate(leaves)), pa.array(np.concatenate(part).astype(np.int32)), batch.column(3).take(rows), *(batch.column(i).take(rows) for i in range(3))],
+                ["leaf", "part", "kind", "id", "j", "vec"],
             )
 
-    dealt = rows.select("id", "vec", "kind").mapInArrow(place, f"leaf long, kind int, id {id_kind}, vec {element}")
-    met = dealt.repartition("leaf").sortWithinPartitions("leaf", "kind").mapInArrow(_reranked(k), f"q {id_kind}, id {id_kind}, score double")
-    order = W.partitionBy("q").orderBy(F.desc("score"), "id")
-    near = met.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    dealt = kinds.mapInArrow(tidy(place), f"leaf long, part int, kind int, id {id_kind}, j int, vec {element}")
+    met = dealt.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind").mapInArrow(tidy(_reranked(k)), f"q {id_kind}, qj int, id {id_kind}, j int, score double")
+    order = W.partitionBy("q", "qj").orderBy(F.desc("score"), "id")
+    # In each leaf and block as many vectors are left as it takes, so few rows of a key meet here.
+    near = met.groupBy("q", "qj", "id").agg(F.max("score").alias("score"), F.collect_set(F.struct("j", "score")).alias("js"))
+    near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("q", "qj", "id", F.inline("js"))
     # Distinct vectors become the rows that have them; k + 1 of these are enough, one may be the query itself.
-    near = near.select("q", F.col("id").alias("rep"), "score").join(members.select("rep", "id"), "rep")
-    near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    lists = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("found"))
-    by_vector = reps.select(F.col("id").alias("q"), "h", "vec").join(lists, "q")
-    return (
-        asked.distinct().join(by_vector, ["h", "vec"])
-        .select("query_id", F.posexplode(F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)).alias("n", "x"))
-        .select("query_id", (F.col("n") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
-    )
+    near = near.select("q", "qj", F.col("id").alias("rep"), "j", "score").join(members, ["rep", "j"])
+    near = near.groupBy("q", "qj", "id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    same = (F.col("q") == F.col("rep")) & (F.col("qj") == F.col("j"))
+    found = asked.join(near.select("q", "qj", "id", "score"), same).where("id != query_id")
+    best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))  # a key's nearest pair of vectors
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def _lifted(points: np.ndarray, longest: float) -> np.ndarray:
