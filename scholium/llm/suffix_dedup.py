@@ -37,16 +37,16 @@ from scholium.llm.common import cut, small_batches, tidy
 
 WIDTH, GRAM = 50, 20
 #: Bytes of text handled at a time, and anchors that a task gathers before it combines and sends them.
-BLOCK, GATHER = 1 << 21, 600_000
+BLOCK, GATHER = 1 << 19, 600_000
 #: Different cells of one anchor in one gathering from which it is dealt by cell; cells of one
 #: anchor in all from which their windows are sorted one by one.
 MANY, HOT = 32, 2048
-#: Ranges of hashes for each partition of the global sort.
-RANGES = 16
-LAST = (1 << 63) - 1  # stands for a NULL key: after all others
-#: Places hold the offset in the text below this bit; above it, if keys repeat with other texts, bits of the text's hash.
-TAG = 31
-_IN_TEXT = (1 << TAG) - 1
+#: Ranges of hashes for each partition of the global sort, and in all: a block of rows goes to
+#: each, so that more ranges would mean smaller blocks.
+RANGES, MOST_RANGES = 16, 4096
+#: Rows of one anchor that a task holds while more come; beyond it they are settled as they come.
+HELD = 1 << 18
+LAST = (1 << 63) - 1  # a NULL key counts as the largest
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _BITS = np.uint64(16)  # what digits of 48 bits leave
 
@@ -118,83 +118,90 @@ def _block(*columns: np.ndarray) -> bytes:
 
 
 def _unblock(block: bytes) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(block), np.uint8).reshape(4, 8, -1)
+    planes = np.frombuffer(zstandard.decompress(block), np.uint8).reshape(5, 8, -1)
     return [np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes]
 
 
-def _combined(ranges: int, h, c, k, start, length) -> pa.RecordBatch:
-    """Blocks of rows (h, c, k, place) to sort globally, by range of h.
+def _combined(ranges: int, h, c, k, t, place) -> pa.RecordBatch:
+    """Blocks of rows (h, c, k, t, place) to sort globally, by range of h.
 
     Rows whose (h, c) a smaller document of the task has, too, are known to go: they make
     a block of their own, with a place below 0 and no hashes.
     """
-    h, c = h >> _BITS, c >> _BITS
-    order = np.lexsort((k, c, h))
-    h, c, k, place = h[order], c[order], k[order], (start[order] << 9) | length[order]
+    order = np.lexsort((k, c, h)).astype(np.int32)
+    h, c = h[order], c[order]
     new_h = np.r_[True, h[1:] != h[:-1]]
     new_v = new_h | np.r_[True, c[1:] != c[:-1]]
-    gone = k > k[new_v][np.cumsum(new_v) - 1]
+    k, t, place = k[order], t[order], place[order]
+    gone = k > k[np.flatnonzero(new_v)][np.cumsum(new_v, dtype=np.int32) - 1]
     first = np.flatnonzero(new_h)
-    many = np.add.reduceat(new_v.astype(np.int64), first) >= MANY
+    many = np.add.reduceat(new_v, first, dtype=np.int32) >= MANY
     none = np.zeros(int(gone.sum()), np.int64)
-    blocks = [(int(k[0]) % ranges, _block(none, none, k[gone], -1 - place[gone]))] if len(none) else []
-    dealt, marks = many[np.cumsum(new_h) - 1][~gone], h[first[many]]
-    h, c, k, place = h[~gone], c[~gone], k[~gone], place[~gone]
+    blocks = [(int(k[0]) % ranges, _block(none, none, k[gone], t[gone], -1 - place[gone]))] if len(none) else []
+    marks = h[first[many]]
+    dealt = many[np.cumsum(new_h, dtype=np.int32) - 1][~gone] if len(marks) else None
+    if len(none):
+        h, c, k, t, place = h[~gone], c[~gone], k[~gone], t[~gone], place[~gone]
     if len(marks):  # they tell the anchor's own group that it has more cells elsewhere
+        zeros = np.zeros(len(marks), np.int64)
         h = np.r_[np.where(dealt, _mix(h, c) >> _BITS, h), marks]
-        c, k = np.r_[c, np.zeros_like(marks)], np.r_[k, np.full(len(marks), LAST)]
+        c, k, t = np.r_[c, zeros.view(np.uint64)], np.r_[k, np.full(len(marks), LAST)], np.r_[t, zeros]
         place = np.r_[np.where(dealt, place | 256, place), np.full(len(marks), 256)]
         order = np.argsort(h, kind="stable")
-        h, c, k, place = h[order], c[order], k[order], place[order]
+        h, c, k, t, place = h[order], c[order], k[order], t[order], place[order]
     at = (h >> np.uint64(16)).astype(np.int64) * ranges >> 32
     edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
     for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         step = np.diff(h[i:j].view(np.int64), prepend=0)
-        blocks.append((int(at[i]), _block(step, c[i:j].view(np.int64), k[i:j], place[i:j])))
+        blocks.append((int(at[i]), _block(step, c[i:j].view(np.int64), k[i:j], t[i:j], place[i:j])))
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["range", "block"])
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in batch.column(1).to_pylist():
-            h, c, k, place = _unblock(block)
+            h, c, k, t, place = _unblock(block)
             # Rows that are known to go stand anywhere but together.
             h = np.where(place < 0, _mix(k.astype(np.uint64), place.astype(np.uint64)).view(np.int64), np.cumsum(h))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, k, place)], ["h", "c", "k", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, k, t, place)], ["h", "c", "k", "t", "place"])
 
 
 class _Gather:
-    """Gathers rows of a task until there are GATHER of them."""
+    """Gathers rows of a task in place until there are GATHER of them."""
 
     def __init__(self, ranges: int) -> None:
-        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.rows = [np.empty(GATHER, kind) for kind in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
         self.n, self.ranges = 0, ranges
 
     def add(self, *row: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.rows.append(row)
-        self.n += len(row[0])
-        if self.n >= GATHER:
-            yield from self.flush()
+        at, size = 0, len(row[0])
+        while at < size:
+            n = min(GATHER - self.n, size - at)
+            for own, x in zip(self.rows, row, strict=True):
+                own[self.n : self.n + n] = x[at : at + n]
+            self.n, at = self.n + n, at + n
+            if self.n == GATHER:
+                yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            yield _combined(self.ranges, *map(np.concatenate, zip(*self.rows, strict=True)))
-        self.rows, self.n = [], 0
+            yield _combined(self.ranges, *(x[: self.n] for x in self.rows))
+        self.n = 0
 
 
-def _blocks(keys: list[int], texts: list[bytes], tags: list[int], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(data, ends, keys, offsets) of about BLOCK bytes; longer texts come in parts that overlap by a window less one."""
-    part: list[tuple[int, bytes, int]] = []
+def _blocks(keys: list[int], texts: list[bytes], tags: list[int], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(data, ends, keys, tags, offsets) of about BLOCK bytes; longer texts come in parts that overlap by a window less one."""
+    part: list[tuple[int, bytes, int, int]] = []
     size = 0
 
     def out():
-        data = np.frombuffer(b"".join([*(t for _, t, _ in part), bytes(8)]), np.uint8)
-        return data, np.cumsum([len(t) for _, t, _ in part]), np.array([k for k, _, _ in part], np.int64), np.array([o for _, _, o in part], np.int64)
+        data = np.frombuffer(b"".join([*(p[1] for p in part), bytes(8)]), np.uint8)
+        return data, np.cumsum([len(p[1]) for p in part]), *(np.array([p[i] for p in part], np.int64) for i in (0, 2, 3))
 
     for k, text, tag in zip(keys, texts, tags, strict=True):
         for at in range(0, max(1, len(text) - width + 1), BLOCK):
             t = text[at : at + BLOCK + width - 1] if len(text) > BLOCK else text
-            part.append((k, t, (tag << TAG) + at))
+            part.append((k, t, tag, at))
             size += len(t)
             if size >= BLOCK:
                 yield out()
@@ -207,11 +214,11 @@ def _cells(width: int, gram: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = _Gather(ranges)
         for batch in batches:
-            for data, ends, keys, offsets in _blocks(*(batch.column(i).to_pylist() for i in range(3)), width):
+            for data, ends, keys, tags, offsets in _blocks(*(batch.column(i).to_pylist() for i in range(3)), width):
                 h, c, start, length = anchors(data, ends, width, gram)
                 own = np.searchsorted(ends, start, "right")
                 begin = np.r_[0, ends[:-1]]
-                yield from gather.add(h, c, keys[own], start - begin[own] + offsets[own], length)
+                yield from gather.add(h >> _BITS, c >> _BITS, keys[own], tags[own], (start - begin[own] + offsets[own]) << 9 | length)
         yield from gather.flush()
 
     return run
@@ -231,49 +238,44 @@ def _asked(width: int, gram: int):
     """The cells that a text was asked for, by anchor; those of hot anchors as single windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "c", "k", "t", "place", "cell"]
         for batch in batches:
-            keys, places, parts = [], [], []
-            for k, text, tag, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for x in asked:
-                    at, n = x >> 9 & _IN_TEXT, x & 255
-                    keys.append(k)
-                    places.append(x)
-                    parts.append(text[at : at + n])
-            data = np.frombuffer(b"".join([*parts, bytes(8)]), np.uint8)
-            ends = np.cumsum([len(x) for x in parts])
-            k, place = np.array(keys, np.int64), np.array(places, np.int64)
-            h, _, start, _ = anchors(data, ends, width, gram)  # all windows of a cell have its anchor
-            own = np.searchsorted(ends, start, "right")
-            anchor = np.empty(len(k), np.uint64)
-            anchor[own] = h
-            hot = np.flatnonzero(place & 256)
-            cool = np.flatnonzero((place & 256) == 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[cool].view(np.int64)), pa.array(np.zeros(len(cool), np.int64)), pa.array(k[cool]), pa.array(place[cool]),
-                 pa.array([parts[i] for i in cool], pa.binary())], ["h", "c", "k", "place", "cell"])
-            for i in range(0, len(hot), GATHER // 32):
-                some = hot[i : i + GATHER // 32]
-                own, at, h, c = _expanded(data, (ends - np.diff(ends, prepend=0))[some], place[some] & 255, width)
-                kk, pp = k[some][own], ((place[some][own] >> 9) + at << 9) | width
+            rows = [(k, t, x, text[(at := x >> 9) : at + (x & 255)]) for k, text, t, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True) for x in asked]
+            for i in range(0, len(rows), GATHER // 16):
+                some = rows[i : i + GATHER // 16]
+                k, t, place = (np.array([r[j] for r in some], np.int64) for j in range(3))
+                data = np.frombuffer(b"".join([*(r[3] for r in some), bytes(8)]), np.uint8)
+                ends = np.cumsum([len(r[3]) for r in some])
+                h, _, start, _ = anchors(data, ends, width, gram)  # all windows of a cell have its anchor
+                anchor = np.empty(len(k), np.uint64)
+                anchor[np.searchsorted(ends, start, "right")] = h
+                hot = np.flatnonzero(place & 256)
+                cool = np.flatnonzero((place & 256) == 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[cool].view(np.int64)), pa.array(np.zeros(len(cool), np.int64)), pa.array(k[cool]), pa.array(t[cool]), pa.array(place[cool]),
+                     pa.array([some[j][3] for j in cool], pa.binary())], names)
+                if not len(hot):
+                    continue
+                own, at, h, c = _expanded(data, (ends - np.diff(ends, prepend=0))[hot], place[hot] & 255, width)
+                kk, tt, pp = k[hot][own], t[hot][own], ((place[hot][own] >> 9) + at << 9) | width
                 order = np.lexsort((kk, c, h))
-                h, c, kk, pp = h[order], c[order], kk[order], pp[order]
+                h, c, kk, tt, pp = h[order], c[order], kk[order], tt[order], pp[order]
                 new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
                 gone = kk > kk[new][np.cumsum(new) - 1]  # settled here: no need to meet the others
                 h = np.where(gone, _mix(kk.astype(np.uint64), pp.astype(np.uint64)), h)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(kk), pa.array(np.where(gone, -1 - pp, pp)),
-                     pa.nulls(len(kk), pa.binary())], ["h", "c", "k", "place", "cell"])
+                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(kk), pa.array(tt), pa.array(np.where(gone, -1 - pp, pp)), pa.nulls(len(kk), pa.binary())], names)
 
     return run
 
 
 def _settled(width: int):
-    """Over rows (h, c, k, place, cell) with all of an h together: the windows that a smaller document has."""
+    """Over rows (h, c, k, t, place, cell) with all of an h together: the windows that a smaller document has."""
 
     def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
-        h, c, k, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        cells = batch.column(4).drop_null().to_pylist()
-        whole = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        h, c, k, t, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        cells = batch.column(5).drop_null().to_pylist()
+        whole = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
         single = ~whole
         data = np.frombuffer(b"".join([*cells, bytes(8)]), np.uint8)
         length = np.array([len(x) for x in cells], np.int64)
@@ -283,171 +285,205 @@ def _settled(width: int):
         h = np.r_[h[single].view(np.uint64), h2]
         c = np.r_[c[single].view(np.uint64), c2]
         start = np.r_[place[single] >> 9, (place[whole] >> 9)[own] + at]
-        kk = np.r_[k[single], k[whole][own]]
+        kk, tt = np.r_[k[single], k[whole][own]], np.r_[t[single], t[whole][own]]
         order = np.lexsort((kk, c, h))
-        h, c, kk, start = h[order], c[order], kk[order], start[order]
+        h, c, kk, tt, start = h[order], c[order], kk[order], tt[order], start[order]
         if len(h):
             new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
             gone = kk > kk[new][np.cumsum(new) - 1]
-            kk, start = kk[gone], start[gone]
-        kk, start = np.r_[kk, k[known]], np.r_[start, (-1 - place[known]) >> 9]
-        return pa.RecordBatch.from_arrays([pa.array(kk), pa.array((start << 9) | width)], ["k", "span"])
+            kk, tt, start = kk[gone], tt[gone], start[gone]
+        kk, tt, start = np.r_[kk, k[known]], np.r_[tt, t[known]], np.r_[start, (-1 - place[known]) >> 9]
+        return pa.RecordBatch.from_arrays([pa.array(kk), pa.array(tt), pa.array((start << 9) | width)], ["k", "t", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []  # of one h, which may go on
         for batch in batches:
-            if held is not None:
-                batch = pa.concat_batches([held, batch])
             if not len(batch):
                 continue
             h = batch.column(0).to_numpy()
-            last = np.flatnonzero(h != h[-1])
-            at = int(last[-1]) + 1 if len(last) else 0
-            held = batch.slice(at)
-            if at:
-                yield judged(batch.slice(0, at))
-        if held is not None:
-            yield judged(held)
+            edges = np.flatnonzero(h[1:] != h[:-1]) + 1
+            if held and held[0].column(0)[0].as_py() != h[0]:
+                yield judged(pa.concat_batches(held))
+                held = []
+            if len(edges):
+                yield judged(pa.concat_batches([*held, batch.slice(0, int(edges[-1]))]))
+                held = []
+            held.append(batch.slice(int(edges[-1]) if len(edges) else 0))
+        if held:
+            yield judged(pa.concat_batches(held))
 
     return run
 
 
+def _judged(h, c, k, t, place, before: tuple[int, int] | None = None, hot_from: int | None = None):
+    """Columns (k, t, span, ask) of rows sorted by (h, c, k): which go, and which are asked for.
+
+    before: (c, least k) of the cell that rows before these ended with, of the first h;
+    hot_from: that h, if it is known to have many cells.
+    """
+    known = place < 0
+    back = -1 - place[known]
+    out = [(k[known], t[known], back, np.zeros(len(back), bool))]
+    h, c, k, t, place = h[~known], c[~known], k[~known], t[~known], place[~known]
+    if len(h):
+        new_h = np.r_[True, h[1:] != h[:-1]]
+        new_v = new_h | np.r_[True, c[1:] != c[:-1]]
+        leasts = k[new_v].copy()
+        if before and h[0] == hot_from and c[0] == before[0]:
+            leasts[0] = before[1]
+        least = leasts[np.cumsum(new_v) - 1]
+        first = np.flatnonzero(new_h)
+        more = (np.maximum.reduceat(least, first) > np.minimum.reduceat(least, first)) | (np.maximum.reduceat(place & 256, first) > 0) | (h[first] == hot_from if hot_from is not None else False)
+        real = (place & 255) > 0
+        gone = (k > least) & real
+        ask = (k == least) & real & more[np.cumsum(new_h) - 1]
+        size = np.add.reduceat(ask.astype(np.int64), first)
+        hot = (size > HOT) | (np.maximum.reduceat(place & 256, first) > 0) | (h[first] == hot_from if hot_from is not None else False)
+        place = (place & ~256) | np.where(hot[np.cumsum(new_h) - 1] & ask, 256, 0)
+        for pick, asked in ((gone, False), (ask, True)):
+            out.append((k[pick], t[pick], place[pick], np.full(int(pick.sum()), asked)))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in map(np.concatenate, zip(*out, strict=True))], ["k", "t", "span", "ask"])
+
+
 def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by (h, c, k): which go, as their (h, c) is in a smaller document, and
-    which are asked for their windows, as their h has another c with another first document."""
+    which are asked for their windows, as their h has another c with another first document.
+
+    Rows of one h are held until all are there. From HELD rows on, if they have more than
+    one cell, the h counts as hot and its rows are settled as they come.
+    """
+    held: list[list[np.ndarray]] = []
+    before = hot_from = None
+
+    def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
+        return _judged(*cols, before, hot_from)
 
-    def judged(h, c, k, place) -> pa.RecordBatch:
-        known = place < 0
-        back = -1 - place[known]
-        out = [(k[known], back, np.zeros(len(back), bool))]
-        h, c, k, place = h[~known], c[~known], k[~known], place[~known]
-        if len(h):
-            new_h = np.r_[True, h[1:] != h[:-1]]
-            new_v = new_h | np.r_[True, c[1:] != c[:-1]]
-            least = k[new_v][np.cumsum(new_v) - 1]
-            first = np.flatnonzero(new_h)
-            more = (np.maximum.reduceat(least, first) > np.minimum.reduceat(least, first)) | (np.maximum.reduceat(place & 256, first) > 0)
-            real = (place & 255) > 0
-            gone = (k > least) & real
-            ask = (k == least) & real & more[np.cumsum(new_h) - 1]
-            size = np.add.reduceat(ask.astype(np.int64), first)
-            hot = (size > HOT) | (np.maximum.reduceat(place & 256, first) > 0)
-            place = (place & ~256) | np.where(hot[np.cumsum(new_h) - 1] & ask, 256, 0)
-            for pick, asked in ((gone, False), (ask, True)):
-                out.append((k[pick], place[pick], np.full(int(pick.sum()), asked)))
-        k, place, ask = map(np.concatenate, zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(place), pa.array(ask)], ["k", "span", "ask"])
-
-    held = None
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         if not len(cols[0]):
             continue
-        last = np.flatnonzero(cols[0] != cols[0][-1])
-        at = last[-1] + 1 if len(last) else 0  # the last h may go on in the next batch
-        held = [x[at:] for x in cols]
-        if at:
-            yield judged(*(x[:at] for x in cols))
-    if held is not None:
-        yield judged(*held)
+        edges = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
+        if held and held[0][0][0] != cols[0][0]:
+            yield flush([np.concatenate(x) for x in zip(*held, strict=True)])
+            held, before, hot_from = [], None, None
+        if hot_from is not None and hot_from != cols[0][0]:
+            before = hot_from = None
+        if len(edges):
+            at = int(edges[-1])
+            yield flush([np.concatenate(x) for x in zip(*held, [c[:at] for c in cols], strict=True)])
+            held, before, hot_from = [], None, None
+            cols = [c[at:] for c in cols]
+        held.append(cols)
+        if sum(len(x[0]) for x in held) >= HELD or hot_from is not None:
+            h, c, k, t, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            if hot_from is not None or c[0] != c[-1]:
+                hot_from = h[0]
+                yield _judged(h, c, k, t, place, before, hot_from)
+                if not (before and before[0] == c[-1]):
+                    before = (c[-1], k[np.searchsorted(c, c[-1])])
+                held = []
+    if held:
+        yield flush([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
 def merged(spans: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs (starts, ends) of spans given as start << 9 | length; runs that touch are one."""
     if not spans:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    x = np.sort(np.array(spans, np.int64)) & ((1 << (TAG + 9)) - 1)
+    x = np.sort(np.array(spans, np.int64))
     start, end = x >> 9, np.maximum.accumulate((x >> 9) + (x & 255))
     new = np.r_[True, start[1:] > end[:-1]]
     return start[new], end[np.r_[new[1:], True]]
 
 
-def _keyed(docs: DataFrame, key: str, data: Column) -> tuple[Column, Column]:
-    """Columns k, the key as a number, and tag, which tells apart different texts of one key."""
+def _keyed(docs: DataFrame, key: str, text: str) -> tuple[Column, Column, Column]:
+    """Columns k, the key as a number; t, which tells apart different texts of one key, else 0; and the bytes of the text."""
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     k = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
     by = docs.select(k.alias("k"), F.xxhash64(data).alias("t")).groupBy("k").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     if by.where("a != b").isEmpty():
-        return k, F.lit(0).cast("long")
-    return k, F.xxhash64(data).bitwiseAND(F.lit((1 << 20) - 1))
+        return k, F.lit(0).cast("long"), data
+    return k, F.xxhash64(data), data
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM):
-    """(texts, spans): the UTF-8 texts by (k, tag), and for each (k, tag) with any the list of covered spans.
+    """(rows, spans): docs as (row, k, t, data), and for each (_k, _t) with any the list of covered spans.
 
     A span is start << 9 | length in bytes: every byte of it lies in a string of ``width``
     bytes that also starts in a text with a smaller key. Texts with equal keys are no
-    smaller than each other; a NULL key is larger than all; NULL texts are empty.
+    smaller than each other; a NULL key counts as the largest 64-bit integer; NULL texts
+    are empty. row is a struct of rest, all columns
+    but the text, and none, whether that is NULL.
     """
     if not 16 <= gram < width <= 128:
         raise ValueError("16 <= gram < width <= 128")
     spark = docs.sparkSession
     small_batches(spark)
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    k, tag = _keyed(docs, key, data)
-    texts = docs.select(k.alias("k"), data.alias("data"), tag.alias("tag"))
+    k, t, data = _keyed(docs, key, text)
+    texts = docs.select(k.alias("k"), data.alias("data"), t.alias("t"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = texts.mapInArrow(tidy(_cells(width, gram, RANGES * parts)), "range int, block binary").repartition(parts, "range")
-    rows = blocks.mapInArrow(tidy(_opened), "h long, c long, k long, place long").sortWithinPartitions("h", "c", "k")
-    found = cut(rows.mapInArrow(tidy(_reduced), "k long, span long, ask boolean"))
-    # Both uses of the texts by key below are one exchange.
-    dealt = texts.repartition(parts, "k", "tag")
+    ranges = min(RANGES * parts, MOST_RANGES)
+    blocks = texts.mapInArrow(tidy(_cells(width, gram, ranges)), "range int, block binary").repartition(parts, "range")
+    rows = blocks.mapInArrow(tidy(_opened), "h long, c long, k long, t long, place long").sortWithinPartitions("h", "c", "k")
+    found = cut(rows.mapInArrow(tidy(_reduced), "k long, t long, span long, ask boolean"))
+    # Both uses of the rows by key below are one exchange.
+    rest = F.struct(F.struct(*[c for c in docs.columns if c != text]).alias("rest"), F.col(text).isNull().alias("none"))
+    dealt = docs.select(rest.alias("row"), k.alias("k"), t.alias("t"), data.alias("data")).repartition(parts, "k", "t")
     asked = _listed(found.where("ask"), "asked")
-    cells = dealt.join(asked, [dealt["k"] == asked["_k"], dealt["tag"] == asked["_tag"]])
-    cells = cells.select("k", "data", "tag", "asked").mapInArrow(tidy(_asked(width, gram)), "h long, c long, k long, place long, cell binary")
-    settled = cells.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_settled(width)), "k long, span long")
-    spans = found.where("not ask").select("k", "span").union(settled)
+    cells = dealt.join(asked, [dealt["k"] == asked["_k"], dealt["t"] == asked["_t"]])
+    cells = cells.select("k", "data", "t", "asked").mapInArrow(tidy(_asked(width, gram)), "h long, c long, k long, t long, place long, cell binary")
+    settled = cells.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_settled(width)), "k long, t long, span long")
+    spans = found.where("not ask").select("k", "t", "span").union(settled)
     return dealt, _listed(spans, "spans")
 
 
 def _listed(spans: DataFrame, name: str) -> DataFrame:
     """A row for each text with its spans; there are no more than the text has windows."""
-    return spans.groupBy(F.col("k").alias("_k"), F.shiftright("span", TAG + 9).alias("_tag")).agg(F.collect_list("span").alias(name))
+    return spans.groupBy(F.col("k").alias("_k"), F.col("t").alias("_t")).agg(F.collect_list("span").alias(name))
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _kept(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    return b"".join(data[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(data)], strict=True))
+
+
+def _digested(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for data, spans in batches:
         rows = []
-        for k, data, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            starts, ends = merged(spans)
-            rows.append((None if k == LAST else k, len(data), int((ends - starts).sum()), len(starts), hashlib.sha256(_kept(data, starts, ends)).hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for x, found in zip(data.to_pylist(), spans.to_pylist(), strict=True):
+            starts, ends = merged(found)
+            rows.append((len(x), int((ends - starts).sum()), len(starts), hashlib.sha256(_kept(x, starts, ends)).hexdigest()))
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, [*[pa.int64()] * 3, pa.string()], strict=True)], ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _kept(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
-    return b"".join(data[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(data)], strict=True))
+def _cleaned(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for data, spans in batches:
+        # A cut inside a character takes the rest of it along.
+        yield pa.array([_kept(x, *merged(found)).decode("utf-8", "ignore") if found else x.decode() for x, found in zip(data.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs."""
+def _over(docs: DataFrame, key: str, text: str, width: int, run, kind: str) -> DataFrame:
+    """(row, out) of docs; only the bytes and spans of a text go to the Python worker."""
     dealt, spans = repeated_spans(docs, key, text, width)
-    return (
-        dealt.join(spans, [dealt["k"] == spans["_k"], dealt["tag"] == spans["_tag"]], "left")
-        .select("k", "data", "spans")
-        .mapInArrow(tidy(_digested), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    )
+    each = tidy(run)
+    each.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    joined = dealt.join(spans, [dealt["k"] == spans["_k"], dealt["t"] == spans["_t"]], "left")
+    return joined.select("row", F.arrow_udf(each, kind)("data", "spans").alias("out"))
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for data, spans in zip(batch.column("_data").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-            # A cut inside a character takes the rest of it along.
-            texts.append(None if data is None else _kept(data, *merged(spans)).decode("utf-8", "ignore") if spans else data.decode())
-        names = [c for c in batch.schema.names if c not in ("_data", "_spans")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, "_text"])
+def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs.
+
+    Repeated rows are judged alike, each with its row; an empty table gives an empty
+    result. The order among texts is that of their keys, which must be integers; ties
+    leave both. No column of the input can clash, as rows travel as structs.
+    """
+    out = _over(docs.select(key, text), key, text, width, _digested, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.select(F.col("row.rest").getField(key).alias("key"), "out.*")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """docs with repeated bytes removed from the texts; NULL texts stay NULL, all rows stay."""
-    _, spans = repeated_spans(docs, key, text, width)
-    rest = [c for c in docs.columns if c != text]
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    k, tag = _keyed(docs, key, data)
-    joined = docs.withColumn("_data", F.col(text).cast("binary")).join(spans, [k == spans["_k"], tag == spans["_tag"]], "left")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text)
-    out = joined.select(*rest, "_data", F.col("spans").alias("_spans")).mapInArrow(tidy(_cleaned), f"{fields}_text string")
-    return out.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in docs.columns])
+    """docs with repeated bytes removed from the texts; NULL texts stay NULL, all rows and columns stay."""
+    out = _over(docs, key, text, width, _cleaned, "string")
+    shown = F.when(~F.col("row.none"), F.col("out"))
+    return out.select(*[(shown if c == text else F.col("row.rest").getField(c)).alias(c) for c in docs.columns])

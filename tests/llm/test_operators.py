@@ -233,19 +233,21 @@ def test_suffix_dedup(spark, rows, case, monkeypatch):
     assert got == collections.Counter(plain_repeats(table))
 
 
-@pytest.mark.parametrize("many, hot, block, gather", [(32, 2048, 1 << 21, 600_000), (2, 1, 1 << 21, 600_000), (2, 0, 90, 50), (32, 4, 64, 40)])
+@pytest.mark.parametrize("many, hot, block, gather", [(32, 2048, 1 << 19, 600_000), (2, 1, 1 << 19, 600_000), (2, 0, 90, 50), (32, 4, 64, 40)])
 def test_suffix_passes_in_process(many, hot, block, gather, monkeypatch):
     """The three passes without Spark, with every way of dealing rows."""
     import pyarrow as pa
 
     for name, value in (("MANY", many), ("HOT", hot), ("BLOCK", block), ("GATHER", gather)):
         monkeypatch.setattr(suffix_dedup, name, value)
+    if gather < 1000:
+        monkeypatch.setattr(suffix_dedup, "HELD", 3)
     for seed in range(4):
         table = sorted({k: t for k, t in passages(seed)}.items())
         texts = {k: t.encode() for k, t in table}
         blocks = []
         for part in (table[::2], table[1::2]):
-            batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([texts[k] for k, _ in part]), pa.array([0] * len(part))], ["k", "data", "tag"])
+            batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([texts[k] for k, _ in part]), pa.array([0] * len(part))], ["k", "data", "t"])
             blocks += suffix_dedup._cells(50, 20, 7)(iter([batch]))
         rows = pa.Table.from_batches(suffix_dedup._opened(iter(blocks))).sort_by([("h", "ascending"), ("c", "ascending"), ("k", "ascending")])
         found = pa.Table.from_batches(suffix_dedup._reduced(iter(rows.to_batches(max_chunksize=17)))).to_pylist()
@@ -253,7 +255,7 @@ def test_suffix_passes_in_process(many, hot, block, gather, monkeypatch):
         spans = collections.defaultdict(list)
         for r in found:
             (asked if r["ask"] else spans)[r["k"]].append(r["span"])
-        batch = pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int64()), pa.array([texts[k] for k in asked]), pa.array([0] * len(asked)), pa.array(list(asked.values()), pa.list_(pa.int64()))], ["k", "data", "tag", "asked"])
+        batch = pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int64()), pa.array([texts[k] for k in asked]), pa.array([0] * len(asked)), pa.array(list(asked.values()), pa.list_(pa.int64()))], ["k", "data", "t", "asked"])
         cells = pa.Table.from_batches(suffix_dedup._asked(50, 20)(iter([batch]))).sort_by("h").combine_chunks()
         for r in pa.Table.from_batches(suffix_dedup._settled(50)(iter(cells.to_batches(max_chunksize=13)))).to_pylist():
             spans[r["k"]].append(r["span"])
@@ -274,6 +276,19 @@ def test_remove_repeats(docs, rows, none):
     assert suffix_dedup.digests(none).count() == 0
 
 
+def test_suffix_dedup_of_extreme_keys_and_names(spark):
+    """The largest key, NULL keys with many texts, and columns of any name."""
+    shared = words(random.Random(9), 30)
+    table = [(1, shared, "a"), (2**63 - 1, "x" + shared, "b"), (None, "y" + shared, "c"), (None, shared + "z", "d"), (None, None, "e"), (5, "", "f"), (5, shared, "g")]
+    for names in (["k", "text", "_k"], ["_key", "_data", "_spans"], ["t", "none", "row"], ["rest", "data", "none"]):
+        docs = spark.createDataFrame(table, f"`{names[0]}` long, `{names[1]}` string, `{names[2]}` string")
+        got = collections.Counter(tuple(r) for r in suffix_dedup.digests(docs, names[0], names[1]).collect())
+        assert got == collections.Counter(plain_repeats([r[:2] for r in table]))
+        cleaned = suffix_dedup.remove_repeats(docs, names[0], names[1])
+        assert cleaned.columns == names
+        assert {r[2]: r[1] for r in cleaned.collect()} == {"a": shared, "b": "x", "c": "y", "d": "z", "e": None, "f": "", "g": ""}
+
+
 def multi():
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         return f.read()
