@@ -426,12 +426,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     blocks = texts.mapInArrow(tidy(_cells(width, gram, ranges)), "range int, block binary").repartition(parts, "range")
     rows = blocks.mapInArrow(tidy(_opened), "h long, c long, k long, t long, place long").sortWithinPartitions("h", "c", "k")
     found = cut(rows.mapInArrow(tidy(_reduced), "k long, t long, span long, ask boolean"))
-    # Both uses of the rows by key below are one exchange.
+    # Both uses of the rows by key below are one exchange, as they read the same columns.
     rest = F.struct(F.struct(*[c for c in docs.columns if c != text]).alias("rest"), F.col(text).isNull().alias("none"))
     dealt = docs.select(rest.alias("row"), k.alias("k"), t.alias("t"), data.alias("data")).repartition(parts, "k", "t")
     asked = _listed(found.where("ask"), "asked")
     cells = dealt.join(asked, [dealt["k"] == asked["_k"], dealt["t"] == asked["_t"]])
-    cells = cells.select("k", "data", "t", "asked").mapInArrow(tidy(_asked(width, gram)), "h long, c long, k long, t long, place long, cell binary")
+    cells = cells.select("k", "data", "t", "asked", "row").mapInArrow(tidy(_asked(width, gram)), "h long, c long, k long, t long, place long, cell binary")
     settled = cells.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_settled(width)), "k long, t long, span long")
     spans = found.where("not ask").select("k", "t", "span").union(settled)
     return dealt, _listed(spans, "spans")
