@@ -406,14 +406,13 @@ def _keyed(docs: DataFrame, key: str, text: str) -> tuple[Column, Column, Column
     return k, F.xxhash64(data), data
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM):
-    """(rows, spans): docs as (row, k, t, data), and for each (_k, _t) with any the list of covered spans.
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, carry: list[Column] | None = None):
+    """(rows, spans): docs as (k, t, data, c0, c1, ...), and for each (_k, _t) with any the list of covered spans.
 
     A span is start << 9 | length in bytes: every byte of it lies in a string of ``width``
     bytes that also starts in a text with a smaller key. Texts with equal keys are no
     smaller than each other; a NULL key counts as the largest 64-bit integer; NULL texts
-    are empty. row is a struct of rest, all columns
-    but the text, and none, whether that is NULL.
+    are empty. c0, c1, ... are the columns to carry along.
     """
     if not 16 <= gram < width <= 128:
         raise ValueError("16 <= gram < width <= 128")
@@ -427,11 +426,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     rows = blocks.mapInArrow(tidy(_opened), "h long, c long, k long, t long, place long").sortWithinPartitions("h", "c", "k")
     found = cut(rows.mapInArrow(tidy(_reduced), "k long, t long, span long, ask boolean"))
     # Both uses of the rows by key below are one exchange, as they read the same columns.
-    rest = F.struct(F.struct(*[c for c in docs.columns if c != text]).alias("rest"), F.col(text).isNull().alias("none"))
-    dealt = docs.select(rest.alias("row"), k.alias("k"), t.alias("t"), data.alias("data")).repartition(parts, "k", "t")
+    along = [c.alias(f"c{i}") for i, c in enumerate(carry or [])]
+    dealt = docs.select(k.alias("k"), t.alias("t"), data.alias("data"), *along).repartition(parts, "k", "t")
     asked = _listed(found.where("ask"), "asked")
     cells = dealt.join(asked, [dealt["k"] == asked["_k"], dealt["t"] == asked["_t"]])
-    cells = cells.select("k", "data", "t", "asked", "row").mapInArrow(tidy(_asked(width, gram)), "h long, c long, k long, t long, place long, cell binary")
+    cells = cells.select("k", "data", "t", "asked", *[f"c{i}" for i in range(len(along))]).mapInArrow(tidy(_asked(width, gram)), "h long, c long, k long, t long, place long, cell binary")
     settled = cells.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(_settled(width)), "k long, t long, span long")
     spans = found.where("not ask").select("k", "t", "span").union(settled)
     return dealt, _listed(spans, "spans")
@@ -462,13 +461,13 @@ def _cleaned(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
         yield pa.array([_kept(x, *merged(found)).decode("utf-8", "ignore") if found else x.decode() for x, found in zip(data.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
 
-def _over(docs: DataFrame, key: str, text: str, width: int, run, kind: str) -> DataFrame:
-    """(row, out) of docs; only the bytes and spans of a text go to the Python worker."""
-    dealt, spans = repeated_spans(docs, key, text, width)
+def _over(docs: DataFrame, key: str, text: str, width: int, run, kind: str, carry: list[Column]) -> DataFrame:
+    """(out, c0, c1, ...) of docs; only the bytes and spans of a text go to the Python worker."""
+    dealt, spans = repeated_spans(docs, key, text, width, carry=carry)
     each = tidy(run)
     each.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     joined = dealt.join(spans, [dealt["k"] == spans["_k"], dealt["t"] == spans["_t"]], "left")
-    return joined.select("row", F.arrow_udf(each, kind)("data", "spans").alias("out"))
+    return joined.select(F.arrow_udf(each, kind)("data", "spans").alias("out"), *[f"c{i}" for i in range(len(carry))])
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -476,14 +475,15 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
     Repeated rows are judged alike, each with its row; an empty table gives an empty
     result. The order among texts is that of their keys, which must be integers; ties
-    leave both. No column of the input can clash, as rows travel as structs.
+    leave both. Columns travel under names of their own, so none of the input can clash.
     """
-    out = _over(docs.select(key, text), key, text, width, _digested, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.col("row.rest").getField(key).alias("key"), "out.*")
+    out = _over(docs, key, text, width, _digested, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", [F.col(key)])
+    return out.select(F.col("c0").alias("key"), "out.*")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """docs with repeated bytes removed from the texts; NULL texts stay NULL, all rows and columns stay."""
-    out = _over(docs, key, text, width, _cleaned, "string")
-    shown = F.when(~F.col("row.none"), F.col("out"))
-    return out.select(*[(shown if c == text else F.col("row.rest").getField(c)).alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c != text]
+    out = _over(docs, key, text, width, _cleaned, "string", [F.col(text).isNull(), *[F.col(c) for c in rest]])
+    own = {c: F.col(f"c{i}") for i, c in enumerate(rest, 1)} | {text: F.when(~F.col("c0"), F.col("out"))}
+    return out.select(*[own[c].alias(c) for c in docs.columns])
