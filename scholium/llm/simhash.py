@@ -21,7 +21,7 @@ from scholium.llm.common import cut, small_batches, tidy
 from scholium.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Members of one table cell that one task compares; a larger cell is split into pairs of blocks.
+#: Members of one table cell that one task compares; a larger cell is split.
 CELL = 4096
 CHUNK = 1 << 15
 
@@ -115,36 +115,44 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """(a, b): links between distinct fingerprints that tie together all that are within radius bits.
 
     Not every pair is returned, but enough for the same components. Cells with more than
-    ``cell`` members (many fingerprints that share a half) are dealt as pairs of blocks to
-    many tasks; none is cut short.
+    ``cell`` members (many fingerprints that share a half) are divided by the bytes of the
+    other half, and then dealt as pairs of blocks to many tasks; none is cut short.
     """
     if radius > 3:
         raise ValueError("two halves with balls of one bit find at most 3 bits")
-    spark = fps.sparkSession
-    halves = F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))
-    keyed = fps.select("fp", F.posexplode(halves).alias("half", "v")).withColumn("cell", 2 * F.col("v") + F.col("half"))
+    small_batches(fps.sparkSession)
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    halves = F.array(F.struct(low.alias("v"), high.alias("other")), F.struct(high.alias("v"), low.alias("other")))
+    keyed = fps.select("fp", F.posexplode(halves).alias("half", "h")).select("fp", "h.*", (2 * F.col("h.v") + F.col("half")).alias("cell"))
     ball = F.expr("transform(filter(sequence(0, 31), i -> getbit(v, i) = 1), i -> cell - shiftleft(2L, i))")
     entries = keyed.select(
-        "fp", F.explode(F.concat(F.array(F.struct("cell", F.lit(True).alias("own"))),
-                                 F.transform(ball, lambda c: F.struct(c.alias("cell"), F.lit(False).alias("own"))))).alias("e")
-    ).select("fp", "e.cell", "e.own")
-    # Only cells with an owner and another member can hold a link.
-    sizes = entries.groupBy("cell").agg(F.count("*").alias("n"), F.bool_or("own").alias("owned"))
-    hot = cut(sizes.where(f"owned and n > {cell}").select("cell", F.ceil(2 * F.col("n") / cell).cast("int").alias("blocks")))
-    if hot.isEmpty():
-        dealt = entries.withColumn("part", F.lit(0).cast("long"))
-    else:
-        mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+        "fp", "other", F.explode(F.concat(F.array(F.struct("cell", F.lit(True).alias("own"))),
+                                          F.transform(ball, lambda c: F.struct(c.alias("cell"), F.lit(False).alias("own"))))).alias("e")
+    ).select("fp", "other", "e.cell", "e.own")
+    # Only cells with an owner and another member can hold a link: the others, nearly all, go no further.
+    live = cut(_sizes(entries, "cell"))
+    mine = entries.join(live, "cell")
+    dealt = mine.where(F.col("n") <= cell).select("fp", "cell", "own", F.lit(0).cast("long").alias("part"))
+    if not live.where(F.col("n") > cell).isEmpty():
+        # Within a crowded cell members differ in at most 3 bits of the other half, so one of its 4 bytes is the same.
+        at = F.posexplode(F.array(*[F.shiftright("other", 8 * i).bitwiseAND(F.lit(255)) for i in range(4)])).alias("i", "byte")
+        split = mine.where(F.col("n") > cell).select("fp", "cell", "own", at).select("fp", "cell", "own", (256 * F.col("i") + F.col("byte")).alias("sub"))
+        blocks = cut(_sizes(split, "cell", "sub")).withColumn("blocks", F.when(F.col("n") > cell, F.ceil(2 * F.col("n") / cell)).otherwise(1).cast("int"))
+        # What still is crowded is dealt as pairs of blocks.
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
         parts = F.transform(
             F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda j: F.least(mine, j) * F.col("blocks") + F.greatest(mine, j),
-        )
-        dealt = entries.join(hot, "cell", "left").select(
-            "fp", "cell", "own", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(parts)).alias("part")
+            lambda j: F.shiftleft(F.col("sub") + 1, 48) + F.least(own, j) * F.col("blocks") + F.greatest(own, j),
         )
+        dealt = dealt.union(split.join(blocks, ["cell", "sub"]).select("fp", "cell", "own", F.explode(parts).alias("part")))
     return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(tidy(_cells(radius)), "a long, b long")
 
 
+def _sizes(entries: DataFrame, *by: str) -> DataFrame:
+    """(by..., n) of the groups that have an owner and another member."""
+    return entries.groupBy(*by).agg(F.count("*").alias("n"), F.bool_or("own").alias("owned")).where("owned and n > 1").drop("owned")
+
+
 def _labels(fps: DataFrame) -> DataFrame:
     """(fp, first, label) for each distinct fingerprint of (key, fp), with its smallest key."""
     distinct = cut(fps.groupBy("fp").agg(F.min("key").alias("first")))
@@ -194,8 +202,9 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     kept = cut(grouped.groupBy("label").agg(F.min(first).alias("_first")).select("_first.key", "_first.hash"))
     found = kept.select(F.col("key").alias("_key"), F.col("hash").alias("_hash")).distinct()
     mine = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
-    out = docs.withColumn("_mine", mine).join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_mine") == F.col("_hash")), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("mine"), mine.alias("hash"))
+    out = rows.join(found, F.col("mine").eqNullSafe(F.col("_key")) & (F.col("hash") == F.col("_hash")), "left_semi")
     copies = grouped.join(found, F.col("key").eqNullSafe(F.col("_key")) & (F.col("hash") == F.col("_hash")), "left_semi")
     # Rows of one key and text differ in other columns at most.
     repeated = not copies.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    return (out.dropDuplicates([key, "_mine"]) if repeated else out).drop("_mine")
+    return (out.dropDuplicates(["mine", "hash"]) if repeated else out).select("row.*")

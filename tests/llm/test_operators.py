@@ -112,7 +112,7 @@ def test_simhash(docs, rows, none):
     assert sorted(kept) == sorted({c for _, _, c in want})
 
 
-@pytest.mark.parametrize("cell", [4096, 16])
+@pytest.mark.parametrize("cell", [4096, 16, 2])
 def test_links_in_crowded_cells(spark, cell):
     """Many fingerprints in one cell, dealt as pairs of blocks or not, give the components of all pairs."""
     rng = random.Random(3)
@@ -138,6 +138,21 @@ def test_links_in_crowded_cells(spark, cell):
     }
 
 
+def test_a_shared_half_costs_no_pairs(spark):
+    """Fingerprints with a common half, and those that only visit a cell nobody owns, are not all compared."""
+    rng = random.Random(13)
+    half = rng.getrandbits(32) | 1 << 31
+    fps = sorted({half << 32 | rng.getrandbits(32) for _ in range(3000)})
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    table = spark.createDataFrame([(f,) for f in signed], "fp long")
+    plan = simhash.links(table, cell=64)
+    got = {frozenset(x) for x in _grouped({r["node"]: r["label"] for r in simhash.components(plan).collect()}).values()}
+    want = collections.defaultdict(set)
+    for i, _, c in plain_groups(list(enumerate(fps))):
+        want[c].add(signed[i])
+    assert got == {frozenset(x) for x in want.values() if len(x) > 1}
+
+
 def _grouped(labels):
     out = collections.defaultdict(set)
     for node, label in labels.items():
@@ -168,30 +183,46 @@ def plain_url(url, listed):
     return host, path, rule, verdict
 
 
-def test_url_filters(spark):
-    pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(URLS + URLS[:3])], "page_id long, url string, rule string")
-    got = {r["page_id"]: tuple(r[1:]) for r in url_filters.judge(pages, url_filters.listed_hosts(spark)).collect()}
-    assert got == {i: plain_url(u, url_filters.LISTED_HOSTS) for i, u in enumerate(URLS + URLS[:3])}
-    assert url_filters.judge(pages.limit(0), url_filters.listed_hosts(spark)).count() == 0
+def picked(host):
+    return host != "" and hashlib.md5(host.encode()).hexdigest()[0] in url_filters.LISTED_DIGITS
 
 
-@pytest.mark.parametrize("bits", [url_filters.BITS_PER_KEY, 2])
-def test_cascade_is_exact(spark, bits, monkeypatch):
-    """With too few bits each level errs often, yet all levels together never do."""
-    monkeypatch.setattr(url_filters, "BITS_PER_KEY", bits)
+def test_url_filters(spark):
+    urls = URLS + URLS[:3] + ["http://" + "x." * 40_000 + "com/en/" + "y" * 100_000]
+    pages = spark.createDataFrame([(i, u, "r", 1, 2) for i, u in enumerate(urls)], "page_id long, url string, rule string, l0 int, block int")
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filters.judge(pages, url_filters.listed_hosts(pages)).collect()}
+    listed = {h for h in (plain_url(u, ())[0] for u in urls) if picked(h)}
+    assert listed
+    assert got == {i: plain_url(u, listed) for i, u in enumerate(urls)}
+    assert url_filters.judge(pages.limit(0), url_filters.listed_hosts(pages)).count() == 0
+    clash = url_filters.judge(pages, url_filters.listed_hosts(pages), keep=["page_id", "l0", "block"])
+    assert clash.columns[:3] == ["page_id", "l0", "block"] and clash.count() == len(urls)
+
+
+@pytest.mark.parametrize("block", [url_filters.BLOCK, 100])
+def test_cascade_is_exact(spark, block):
+    """Each level errs often, yet all levels of a block together never do, however many blocks there are."""
     universe = spark.range(20000).selectExpr("concat('h', id % 15000) key").union(spark.sql("select cast(null as string)"))
     listed = spark.range(0, 30000, 7).selectExpr("concat('h', id) key")
-    levels = url_filters.build_cascade(universe, listed)
-    assert len(levels) > 1
-    wrong = universe.where("key is not null").where(url_filters.member(universe["key"], levels) != (universe["key"].substr(2, 9).cast("int") % 7 == 0))
-    assert wrong.count() == 0
+    cascade = url_filters.build_cascade(universe, listed, block=block)
+    assert len(cascade.hashes) > 3
+    assert cascade.blocks == (1 if block > 4000 else 22)
+    got = cascade.marked(universe, "key", "listed")
+    assert got.count() == 20001
+    assert got.where("listed != coalesce(cast(substring(key, 2) as int) % 7 = 0, false)").count() == 0
+    none = url_filters.build_cascade(universe, listed.limit(0))
+    assert none.marked(universe, "key", "listed").where("listed").count() == 0
+
 
+def test_the_query_needs_several_levels(spark):
+    import os
 
-def test_long_lists_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(url_filters, "MAX_BITS", 1)
-    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    got = {r["page_id"]: tuple(r[1:]) for r in url_filters.judge(pages, url_filters.listed_hosts(spark)).collect()}
-    assert got == {i: plain_url(u, url_filters.LISTED_HOSTS) for i, u in enumerate(URLS)}
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    hosts = pages.select(url_filters.host_of(pages["url"]).alias("key"))
+    assert len(url_filters.build_cascade(hosts, url_filters.listed_hosts(pages).withColumnRenamed("host", "key")).hashes) > 1
 
 
 def plain_repeats(rows, width=50):
