@@ -158,11 +158,11 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns, whatever they are called.
 
-    Texts are measured once: rows that pass are written with their host, the others as
-    their host alone. Only the rejected hosts are joined, by broadcast if Catalyst finds
-    them few and else by shuffle.
+    Texts are measured where they are read, once for the hosts and once for the rows, so
+    that none is shuffled or written. Only the rejected hosts are joined, by broadcast if
+    Catalyst finds them few and else by shuffle.
     """
-    rows = measure(docs, text).select(F.when(~F.col("base_failed"), F.col("row")).alias("row"), F.col("row").getField(host).alias("host"), "base_failed")
-    rows = cut(rows)
-    rejected = cut(host_rates(rows).where(~F.col("host_kept")).select(F.col("host").alias("_h")))
+    rows = measure(docs, text).select("row", F.col("row").getField(host).alias("host"), "base_failed")
+    hosts = host_rates(cut(rows.select("host", "base_failed")))
+    rejected = cut(hosts.where(~F.col("host_kept")).select(F.col("host").alias("_h")))
     return rows.where(~F.col("base_failed")).join(rejected, F.col("host").eqNullSafe(F.col("_h")), "left_anti").select("row.*")
