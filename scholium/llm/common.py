@@ -92,7 +92,7 @@ def small_batches(spark: SparkSession) -> None:
     find what they were made for.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

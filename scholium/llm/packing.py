@@ -17,7 +17,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from scholium.llm.common import cut, ranked, small_batches, tidy
 
 WINDOW = 2048
 END_ID = 1
-#: Entries of a worker's cache of encoded chunks, each of CHUNK characters at most; others are encoded again.
+#: Entries of a task's cache of encoded chunks, each of CHUNK characters at most; others are encoded again.
 CACHE, CHUNK = 200_000, 32
 
 
@@ -109,12 +108,6 @@ class CachedTokenizer:
         return out
 
 
-@lru_cache(maxsize=1)
-def tokenizer(definition: str) -> CachedTokenizer:
-    """One for each worker process, kept over its tasks."""
-    return CachedTokenizer(definition)
-
-
 def spaced(text: str) -> list[str] | None:
     """The chunks of a text, each but the first with the space before it; None if it can't be cut safely."""
     parts = text.split(" ")
@@ -134,7 +127,7 @@ def pieces(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = tokenizer(shipped.value), np.array([END_ID], "<u4").tobytes()
+        own, end = CachedTokenizer(shipped.value), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             encoded = own.encode([t or "" for t in batch.column(1).to_pylist()])

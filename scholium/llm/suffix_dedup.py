@@ -37,7 +37,7 @@ from scholium.llm.common import cut, small_batches, tidy
 
 WIDTH, GRAM = 50, 20
 #: Bytes of text handled at a time, and anchors that a task gathers before it combines and sends them.
-BLOCK, GATHER = 1 << 19, 600_000
+BLOCK, GATHER = 1 << 19, 500_000
 #: Different cells of one anchor in one gathering from which it is dealt by cell; cells of one
 #: anchor in all from which their windows are sorted one by one.
 MANY, HOT = 32, 2048
