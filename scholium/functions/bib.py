@@ -137,7 +137,7 @@ def make_key_udf(author: pd.Series, editor: pd.Series, year: pd.Series) -> pd.Se
 
 @F.pandas_udf(StringType())
 def last_names_slug_udf(author: pd.Series, editor: pd.Series) -> pd.Series:
-    return pd.Series([slug("".join(last for _, _, last in names(a or "") or names(e or ""))) for a, e in zip(author, editor, strict=True)], dtype=object)
+    return pd.Series([slug("".join(last for _, _, last in (names(a or "") or names(e or ""))[:1])) for a, e in zip(author, editor, strict=True)], dtype=object)
 
 
 # BibTeX text -------------------------------------------------------------------------
@@ -189,6 +189,51 @@ GENRES = {"thesis": "phdthesis", "report": "techreport", "online": "misc", "elec
           "mvcollection": "collection", "inreference": "incollection", "periodical": "misc", "patent": "misc"}
 
 
+#: Slips in BibTeX files and what they stand for: names of fields, comments, keys.
+_SLIPS = [(re.compile(a, re.M), b) for a, b in (
+    (r"^\s*_orig\s*=", "orig ="),
+    (r"^\s*@(?:Note|Abstract|Comments?)\s*=", "xnote ="),
+    (r"^\s*__[mM](?:arkedentry|ARKEDENTRY)\s*=", "markedentry ="),
+    (r"^\s*__publisher\s*=", "publisher ="),
+    (r"^\s*--(Address|Author)\s*=", r"xx\1 ="),
+    (r"^\s*%.*$", ""),
+    (r",%(?:Undefined\?|[nN]ame is not available|[0-9a-z]*)$", ","),
+    (r"\}%,", "},"),
+    (r"@([a-z]+)\{\{(English|French|vedic)\}", r"@\1{\2_"),
+    (r"(crossref\s*=\s*\{)dryhaspWALS\}", r"\1wals}"),
+    (r"(crossref\s*=\s*\{)coling98\}", r"\1Branco98a}"),
+    (r"@book:1997\s*\{foley,", "@book{foley:1997,"),
+    (r"@Article\{,", "@Article{undefined,"),
+    (r"(@\w+\{)(Rep)ú(blicadelParaguay2001,)", r"\1\2u\3"),
+    (r"@book\{Kury\\l\{\}owicz1973", "@book{kurylowicz1973"),
+)]
+
+
+def mended(text: str) -> str:
+    text = text.replace("\u00a0", " ").replace("{\\{AA}}", "{\\AA}").replace("{L\\{", "{L{\\").replace("{{\\{", "{{{")
+    for slip, meant in _SLIPS:
+        text = slip.sub(meant, text)
+    return text
+
+
+def mended_names(value: str) -> str:
+    """A list of names with 'and' between them, where commas, ampersands or named parts stand in its place."""
+    value = re.sub(r"family=([^,]+),\s*given=([^,]+?)(?=\s+and\s|\s*$)", r"\1, \2", value)
+    value = re.sub(r",?\s*\\?&\s*", " and ", value).rstrip(" ,")
+    if " and " in value or value.count(",") < 2:
+        return value
+    parts = [p.strip() for p in value.split(",") if p.strip()]
+    if len(parts) == 3 and re.fullmatch(r"[JS]r\.?|I+V?", parts[1] if re.fullmatch(r"[JS]r\.?|I+V?", parts[1]) else parts[2]):
+        return value if parts[2] not in ("Jr.", "Sr.", "Jr", "Sr") else f"{parts[0]}, {parts[1]} {parts[2]}"
+    if all(" " in p for p in parts):
+        return " and ".join(parts)
+    if all(" " in p for p in parts[2:]):
+        return " and ".join([f"{parts[0]}, {parts[1]}", *parts[2:]])
+    if len(parts) % 2 == 0:  # last, first, last, first
+        return " and ".join(f"{a}, {b}" for a, b in zip(parts[::2], parts[1::2], strict=True))
+    return value
+
+
 def parse_bibtex(text: str) -> list[tuple[str, str, dict[str, str]]]:
     """(key, genre, fields) of each entry; @string macros are expanded, broken entries are skipped.
 
@@ -196,16 +241,17 @@ def parse_bibtex(text: str) -> list[tuple[str, str, dict[str, str]]]:
     """
     macros = {m: m for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()}
     out = []
-    for found in re.finditer(r"(?m)^[ \t]*@(\w+)\s*([{(])", text.replace("\u00a0", " ")):
+    text = mended(text)
+    for found in re.finditer(r"(?m)^[ \t]*@(\w+)\s*([{(])", text):
         kind, at = found[1].lower(), found.end()
         if kind in ("comment", "preamble"):
             continue
         try:
             if kind == "string":
-                name, at = _name(text.replace("\u00a0", " "), at)
-                macros[name.lower()], _ = _value(text.replace("\u00a0", " "), at, macros)
+                name, at = _name(text, at)
+                macros[name.lower()], _ = _value(text, at, macros)
                 continue
-            out.append(_entry(text.replace("\u00a0", " "), at, kind, macros))
+            out.append(_entry(text, at, kind, macros))
         except (IndexError, ValueError):
             continue
     return out
@@ -269,7 +315,7 @@ def to_source(key: str, genre: str, fields: dict[str, str], plain: Callable[[str
             if value.count(a) != value.count(b):
                 value = value.replace(a, "").replace(b, "")
         if name in ("author", "editor"):
-            value = value.replace("[", "").replace("]", "")
+            value = mended_names(value.replace("[", "").replace("]", ""))
         out["year" if name.lower() == "date" else name.lower()] = value
     for name in list(out):
         if name in DROPPED:

@@ -11,19 +11,23 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
+from scholium.functions.macros import ABBREVIATIONS, MACROS
+
 #: LaTeX accent commands as combining characters.
 ACCENTS = {"`": "\u0300", "'": "\u0301", "^": "\u0302", "~": "\u0303", '"': "\u0308", "H": "\u030b", "c": "\u0327", "k": "\u0328", "=": "\u0304",
            "b": "\u0331", ".": "\u0307", "d": "\u0323", "r": "\u030a", "u": "\u0306", "v": "\u030c"}
 SYMBOLS = {"ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "i": "ı", "j": "ȷ", "aa": "å", "AA": "Å", "ng": "ŋ",
            "dh": "ð", "th": "þ", "textquoteleft": "‘", "textquoteright": "’", "textquotedblleft": "“", "textquotedblright": "”", "ldots": "…", "dots": "…",
            "textendash": "–", "textemdash": "—", "emptyset": "∅", "textschwa": "ə", "textglotstop": "ʔ", "rightarrow": "→", "leftarrow": "←", "textbackslash": "\\",
-           "S": "§", "P": "¶", "pm": "±", "times": "×", "alpha": "α", "beta": "β", "gamma": "γ", "slash": "/", "db": "[[", "quad": " ", "qquad": " ", "newline": "\n"}
-UPPER = {"textsc", "textupsc", "textscl", "sc", "gsc", "tsc", "Sc", "gloss", "feat", "glossfeat"}
+           "S": "§", "P": "¶", "pm": "±", "times": "×", "alpha": "α", "beta": "β", "gamma": "γ", "slash": "/", "db": "[[", "quad": " ", "qquad": " ", "newline": "\n", "particle": "PARTICLE"} | MACROS | ABBREVIATIONS
+UPPER = {"textsc", "textupsc", "textscl", "sc", "gsc", "tsc", "Sc", "gloss", "feat", "glossfeat", "ig", "mc"}
 FIRST = {"mbox", "textup", "textit", "textbf", "emph", "uline", "ulp", "ulg", "ref", "ili", "text", "textrm", "textsf", "texttt", "underline"}
 SECOND = {"linieb", "textcolor", "colorbox", "parbox"}
-NOTHING = {"il": 1, "is": 1, "it": 0, "ia": 1, "ix": 1, "label": 1, "index": 1, "llap": 1, "vspace": 1, "hspace": 1, "phantom": 1, "dline": 0, "ux": 1, "ilt": 0, "REF": 1,
+NOTHING = {"il": 1, "is": 1, "ist": 1, "it": 0, "ia": 1, "ix": 1, "label": 1, "index": 1, "llap": 1, "vspace": 1, "hspace": 1, "phantom": 1, "dline": 3, "ux": 1, "ilt": 1, "REF": 1,
            "hfill": 0, "noindent": 0, "small": 0, "footnotesize": 0, "scshape": 0, "itshape": 0, "bfseries": 0, "upshape": 0, "normalfont": 0, "centering": 0, "relax": 0}
 NOTES = {"footnote", "footnotetext"}
+#: Citations whose first argument is the key and whose second the page.
+QUOTED = {"fatcit", "fatcitNP", "blockcquote"}
 CITES = re.compile(r"[a-zA-Z]*[cC]ite[a-zA-Z]*\Z")
 
 
@@ -90,6 +94,9 @@ class _Reader:
             out.append(self.group("]"))
         return out
 
+    def cite(self, keys: str, pages: str) -> None:
+        self.refs += [(k.strip().lstrip("&").strip().replace("–", "--").lower(), pages) for k in keys.split(",") if k.strip() and k.strip() != "["]
+
     def command(self) -> str:
         found = re.compile(r"[a-zA-Z]+\*?|.", re.S).match(self.tex, self.at)
         if not found:
@@ -129,17 +136,32 @@ class _Reader:
                 self.notes.append(note.strip())
             return ""
         if name == "href":
+            if not self.keep_notes and not re.match(r"\s*\{[^{}]*\}\s*\{", self.tex[self.at :]):
+                raise ValueError("a link without text")
             url, shown = self.argument(), self.argument()
             return f"[{shown}]({url})" if self.keep_notes else url
+        if name == "japhug":
+            return f"{self.argument()} [{self.argument()}]"
+        if name == "japhdoi":
+            return f"https://doi.org/10.24397/pangloss-{self.argument()}"
+        if name == "scite":
+            self.argument()
+            self.cite(self.argument(), "")
+            return ""
+        if name in QUOTED:
+            keys, pages = self.argument(), self.argument()
+            self.cite(keys, pages)
+            return ""
         if name == "jambox":
             self.options()
             return self.argument()
         if name == "langinfo":
-            shown, family, source = self.argument(), self.argument(), self.argument()
-            return " ".join(x for x in (shown, family, source) if x)
+            shown, family = self.argument(), self.argument()
+            self.cite(self.argument(), "")
+            return " ".join(x for x in (shown.strip(), family.strip()) if x)
         if CITES.match(name):
             pages, keys = self.options(), self.argument()
-            self.refs += [(k.strip().lstrip("&").replace("–", "--").lower(), pages[-1].replace('"', "") if pages else "") for k in keys.split(",") if k.strip() and k.strip() != "["]
+            self.cite(keys, pages[-1].replace('"', "") if pages else "")
             return ""
         if name in SECOND:
             self.options()
@@ -169,7 +191,7 @@ def plain(tex: str) -> str:
     """Plain text of a bibliographic field; a text that can't be read stays as it is."""
     try:
         return re.sub(r"\s+", " ", _Reader(tex, frozenset(), False).group()).strip()
-    except RecursionError:
+    except (RecursionError, ValueError):
         return tex
 
 
@@ -180,6 +202,14 @@ def strip_comment(line: str) -> str:
     return re.sub(r"(?<!\\)%.*", "", line, flags=re.S).replace("\\%", "%")
 
 
+def rewritten(tex: str) -> str:
+    r"""A source with what would hinder reading examples put plainly: synonyms, runs of \db, links at the right margin."""
+    tex = re.sub(r"\s*\\hfill\s*\[\\href\{[^}]+\}[^\]]*\]\s*\Z", "", tex)
+    for written, meant in (("\\langinfobreak", "\\langinfo"), ("{\\db}" * 3, "[" * 3), ("{\\db}" * 2, "[" * 2), ("\\textsc{id}:", ""), ("\\glossN.", "\\glossN{}.")):
+        tex = tex.replace(written, meant)
+    return tex
+
+
 _MANY = re.compile(r"\\(?:paren|text)?cites((?:(?:\[[^\]]*\]){0,2}\{[^}]*\})+)")
 
 

@@ -86,7 +86,7 @@ def merge_bibliography(entries: DataFrame, similar) -> DataFrame:
     """(key, genre, fields, citekeys) from (key, citekey, genre, fields, title, title_slug, year, author_slug, ord).
 
     key is the generated citation key that entries are gathered by. Entries that agree in
-    title, year and author slugs are one block. Blocks of a key are taken in order of these
+    title, year and author slugs are one block, which goes by the key of its first entry. Blocks of a key are taken in order of these
     three; one joins the batch before it if year and author are those of the last block
     with a title and a year or author, and ``similar`` (a function of two title columns)
     holds for the titles. Entries with neither stay alone. Batches get suffixes if a key
@@ -94,9 +94,9 @@ def merge_bibliography(entries: DataFrame, similar) -> DataFrame:
     """
     told = (F.col("title") != "") & ((F.col("year") != "") | (F.col("author_slug") != ""))
     rows = entries.withColumn("_told", told)
-    block = F.when(F.col("_told"), F.lit(-1)).otherwise(F.col("ord"))
-    blocks = rows.groupBy("key", "title_slug", "year", "author_slug", block.alias("_alone")).agg(
-        F.min_by("title", "ord").alias("title"), F.first("_told").alias("_told"), F.min("ord").alias("_ord")
+    block = F.when(~F.col("_told"), F.xxhash64("ord")).otherwise(F.lit(-1))
+    blocks = rows.groupBy("title_slug", "year", "author_slug", block.alias("_alone")).agg(
+        F.min_by("key", "ord").alias("key"), F.min_by("title", "ord").alias("title"), F.first("_told").alias("_told"), F.min("ord").alias("_ord")
     )
     order = W.partitionBy("key").orderBy("title_slug", "year", "author_slug", "_ord")
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
@@ -114,8 +114,8 @@ def merge_bibliography(entries: DataFrame, similar) -> DataFrame:
     )
     counted = numbered.groupBy("key").agg(F.max("batch").alias("_batches"))
     numbered = numbered.join(counted, "key").select("key", "title_slug", "year", "author_slug", "_alone", "batch", "_place", "_batches")
-    on = ["key", "title_slug", "year", "author_slug", "_alone"]
-    placed = rows.withColumn("_alone", block).join(numbered, on).withColumn(
+    on = ["title_slug", "year", "author_slug", "_alone"]
+    placed = rows.drop("key").withColumn("_alone", block).join(numbered, on).withColumn(
         "merged_key", F.when(F.col("_batches") > 1, F.concat_ws(":", "key", F.col("batch").cast("string"))).otherwise(F.col("key"))
     ).withColumn("_order", F.struct("_place", "ord"))
     return fold_fields(placed)
@@ -157,8 +157,8 @@ def fold_fields(placed: DataFrame) -> DataFrame:
     )
 
 
-#: Parts of paths whose files are no sources of text.
-NOT_FETCHED = ("/figures/", "/slides/", "/cover/", ".sty/", "/templates/", "/attic/", "/backup/")
+#: Parts of paths whose files are no sources of text: archives, settings, figures, what programs have made.
+NOT_FETCHED = tuple("__MACOSX .texpadtmp biblatex-sp-unified bibstyles.deprecated bibstyles/ draftinfo.tex Figures/ figures/ generated/ graphics/ langsci-hyphenation langsci/locale pdf/ seriesinfo styles/tcb".split())
 
 
 def fetchable(tree: DataFrame, excluded: tuple[str, ...] = NOT_FETCHED) -> DataFrame:
@@ -167,7 +167,7 @@ def fetchable(tree: DataFrame, excluded: tuple[str, ...] = NOT_FETCHED) -> DataF
     wanted = path.rlike(r"\.(bib|tex)$") | (F.substring_index(path, "/", -1) == "Makefile")
     rows = tree.where(~F.col("type").isin("tree", "commit") & wanted)
     for part in excluded:
-        rows = rows.where(~F.concat(F.lit("/"), path).contains(part))
+        rows = rows.where(~path.contains(part))
     return rows
 
 
@@ -182,6 +182,25 @@ def example_sources(examples: DataFrame, sources: DataFrame) -> DataFrame:
     return cited.where(F.col("sid") != F.col("pub_id")).join(known, F.col("sid") == F.col("_sid"), "left").drop("_sid")
 
 
+def resolve_example_sources(examples: DataFrame, sources: DataFrame) -> DataFrame:
+    """examples (pub_id, id, sources, ...) whose cited keys are replaced by those of their publication's sources.
+
+    Keys that no source has go, the others keep their order; examples without any stay.
+    """
+    cited = examples.select("pub_id", "id", F.posexplode("sources").alias("n", "s")).withColumn("key", F.lower(F.replace("s.sid", F.lit("–"), F.lit("--"))))
+    known = resolve_citations(cited, sources)
+    lists = known.groupBy("pub_id", "id").agg(F.sort_array(F.collect_list(F.struct("n", "sid", F.col("s.pages").alias("pages")))).alias("_found"))
+    lists = lists.select(F.col("pub_id").alias("_p"), F.col("id").alias("_i"), F.transform("_found", lambda x: F.struct(x["sid"], x["pages"])).alias("_found"))
+    joined = examples.join(lists, (F.col("pub_id") == F.col("_p")) & (F.col("id") == F.col("_i")), "left")
+    none = F.array().cast(examples.schema["sources"].dataType)
+    return joined.withColumn("sources", F.coalesce(F.col("_found").cast(examples.schema["sources"].dataType), none)).drop("_p", "_i", "_found")
+
+
+def example_counts(examples: DataFrame) -> DataFrame:
+    """(pub_id, n_examples)"""
+    return examples.groupBy("pub_id").agg(F.count("*").alias("n_examples"))
+
+
 def missing_sources(cited: DataFrame) -> DataFrame:
     """Rows of example_sources() whose source is unknown; there should be none."""
     return cited.where(F.col("fields").isNull())

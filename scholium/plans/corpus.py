@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scholium.functions import bib
 from scholium.functions import text as T
 from scholium.operators import languages, references
-from scholium.sources import articles, bibliographies, books
+from scholium.sources import articles, bibliographies, books, catalog, datasets, files
 from scholium.sources.articles import Corpus
 
 Provider = Callable[[SparkSession, str], Corpus]
@@ -29,18 +29,39 @@ def provider(name: str) -> Callable[[Provider], Provider]:
 
 
 provider("article")(articles.read_articles)
+provider("dataset")(datasets.read_datasets)
 
 
 @provider("book")
 def read_books(spark: SparkSession, root: str) -> Corpus:
-    """Books with their BibTeX files, one folder each; cited keys stand for the references' own."""
+    """Books with their BibTeX files, one folder each; cited keys stand for the references' own.
+
+    A catalogue catalog.tsv beside the folders, if there is one, says which books are
+    published and what language they treat, which is that of examples that name none.
+    """
     texts = books.read_texts(spark, root)
+    listed = None
+    if not files.read_files(spark, root, "catalog.tsv").limit(1).isEmpty():
+        listed = catalog.published(catalog.read_catalog(spark, f"{root.rstrip('/')}/catalog.tsv"))
+        texts = texts.join(listed.select(F.col("ID").alias("pub_id")), "pub_id", "left_semi")
     mains = books.main_files(texts)
-    files = books.included(texts, mains)
-    refs = bibliographies.read_bibtex(spark, root).withColumnRenamed("key", "sid")
-    cites = references.resolve_citations(books.citations(books.citing(texts, mains, files)).select("pub_id", "key"), refs)
-    short = files.select("pub_id", "path", "name", "text").union(texts.where("name = 'abbreviations.tex'").select("pub_id", "path", "name", "text"))
-    return Corpus(mains.select("pub_id"), refs, cites.select("pub_id", "sid"), books.examples(files), books.gloss_abbreviations(short))
+    texts = books.inlined(texts.withColumn("text", books.rewritten_udf("text")), mains)
+    parts = books.included(texts, mains)
+    bibs = books.chosen_bibliographies(texts, mains, bibliographies.read_bibtex(spark, root))
+    refs = bibs.withColumnRenamed("key", "sid")
+    cites = references.resolve_citations(books.citations(books.citing(texts, mains, parts)).select("pub_id", "key"), refs)
+    short = parts.select("pub_id", "path", "name", "text").union(texts.where("name = 'abbreviations.tex'").select("pub_id", "path", "name", "text"))
+    short = books.gloss_abbreviations(short)
+    examples = references.resolve_example_sources(books.examples(parts), refs)
+    examples = references.abbreviations_for(examples, short)
+    if listed is None:
+        return Corpus(mains.select("pub_id"), refs, cites.select("pub_id", "sid"), examples, short)
+    languages_of = listed.select(F.col("ID").alias("pub_id"), F.nullif("objectlanguage", F.lit("")).alias("objectlanguage"))
+    files_of = languages_of.select("pub_id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("language")).limit(0)
+    named = languages.default_language(examples.withColumnRenamed("language", "language_name"), files_of, languages_of)
+    examples = named.select(*[F.col("language_name").alias("language") if c == "language" else F.col(c) for c in examples.columns])
+    own = listed.join(mains.select(F.col("pub_id").alias("ID")), "ID", "left_semi").withColumn("pub_id", F.col("ID"))
+    return Corpus(own.drop("ID"), refs, cites.select("pub_id", "sid"), examples, short)
 
 
 def load(spark: SparkSession, exclude: Iterable[str] = (), **roots: str) -> dict[str, Corpus]:
@@ -69,12 +90,12 @@ def resolved_examples(examples: DataFrame, languoids: DataFrame, names: DataFram
 
 def merged_bibliography(corpora: dict[str, Corpus]) -> DataFrame:
     """Cited references of all providers merged into one bibliography."""
-    cited = [
-        references.cited_references(references.last_wins(c.references.select("pub_id", "sid", "genre", "fields", "ord"), ["pub_id", "sid"]), c.citations, ["pub_id", "sid"])
-        for c in corpora.values()
-    ]
+    cited = []
+    for name, c in corpora.items():
+        refs = references.last_wins(c.references.select("pub_id", "sid", "genre", "fields", "ord"), ["pub_id", "sid"])
+        cited.append(references.cited_references(refs, c.citations, ["pub_id", "sid"]).withColumn("provider", F.lit(name)))
     rows = reduce(DataFrame.unionByName, cited)
     ids = rows.select(F.concat_ws(":", "pub_id", "sid").alias("citekey"), "genre", F.map_concat(
-        F.map_filter("fields", lambda k, _: k != "isreferencedby"), F.create_map(F.lit("isreferencedby"), F.col("pub_id"))).alias("fields"), "pub_id", "ord")
-    ordered = ids.withColumn("ord", F.xxhash64("citekey"))  # any order will do, if it is the same on every run
-    return references.merge_bibliography(bibliographies.merge_input(ordered), bib.similar_titles())
+        F.map_filter("fields", lambda k, _: k != "isreferencedby"), F.create_map(F.lit("isreferencedby"), F.col("pub_id"))).alias("fields"),
+        F.struct("provider", F.regexp_extract("pub_id", "([0-9]+)$", 1).cast("long").alias("number"), "pub_id", "ord", "sid").alias("ord"))  # provider by provider, in order of files
+    return references.merge_bibliography(bibliographies.merge_input(ids), bib.similar_titles())

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import StringType
 
 from scholium.functions import align, tex
 from scholium.operators import examples as E
@@ -44,6 +47,26 @@ def main_files(texts: DataFrame) -> DataFrame:
     return ranked.groupBy("pub_id").agg(F.min_by("path", F.struct("prio", "path")).alias("path"))
 
 
+@F.pandas_udf(StringType())
+def rewritten_udf(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else tex.rewritten(t))
+
+
+def chosen_bibliographies(texts: DataFrame, mains: DataFrame, entries: DataFrame) -> DataFrame:
+    """entries (pub_id, path, ord, ...) of the BibTeX file that a book has, or those its main file names if it has several.
+
+    ord counts on through a book's files, taken in order of their names.
+    """
+    name = F.substring_index("path", "/", -1)
+    sole = entries.groupBy("pub_id").agg((F.count_distinct("path") == 1).alias("_sole"))
+    named = bibliography_names(texts.join(mains, ["pub_id", "path"], "left_semi")).select("pub_id", F.substring_index("bib", "/", -1).alias("_bib")).distinct()
+    kept = entries.join(sole, "pub_id").join(named, (entries["pub_id"] == named["pub_id"]) & (name == F.col("_bib")), "left")
+    kept = kept.where(F.col("_sole") | F.col("_bib").isNotNull()).select(*[entries[c] for c in entries.columns])
+    sizes = kept.groupBy("pub_id", "path").agg((F.max("ord") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("pub_id").orderBy(F.substring_index("path", "/", -1), "path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return kept.join(sizes.select("pub_id", "path", before.alias("_before")), ["pub_id", "path"]).withColumn("ord", F.col("ord") + F.col("_before")).drop("_before").select(*entries.columns)
+
+
 def included(texts: DataFrame, mains: DataFrame) -> DataFrame:
     """(pub_id, path, name, text, file_ord): files that a main file includes, in order, then those that theirs do not name.
 
@@ -105,9 +128,19 @@ def bibliography_names(mains: DataFrame) -> DataFrame:
     return rows.withColumn("bib", F.concat(F.regexp_replace(F.trim("bib"), r"\.bib$", ""), F.lit(".bib")))
 
 
-def inlined(texts: DataFrame) -> DataFrame:
-    r"""texts with files that a line starts to \input put in its place, one level deep; missing ones leave nothing."""
-    lines = texts.select("pub_id", "path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+def inlined(texts: DataFrame, but: DataFrame | None = None) -> DataFrame:
+    r"""texts with files that a line starts to \input put in its place, one level deep; missing ones leave nothing.
+
+    Files of ``but`` (pub_id, path), as main files, keep their lines: what they include are files of their own.
+    """
+    if but is not None:
+        kept = texts.join(but, ["pub_id", "path"], "left_semi").select("pub_id", "path", "name", "text")
+        return kept.union(_inlined(texts.join(but, ["pub_id", "path"], "left_anti"), texts))
+    return _inlined(texts, texts)
+
+
+def _inlined(some: DataFrame, texts: DataFrame) -> DataFrame:
+    lines = some.select("pub_id", "path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     name = F.regexp_extract("line", r"^\s*\\(?:input|include)\{([^}]+)\}", 1)
     wanted = lines.withColumn("base", F.lower(F.regexp_replace(F.substring_index(name, "/", -1), r"\.tex$", "")))
     files = texts.select("pub_id", F.lower(F.regexp_replace(F.substring_index("path", "/", -1), r"\.tex$", "")).alias("base"), F.col("text").alias("other"))
@@ -115,4 +148,4 @@ def inlined(texts: DataFrame) -> DataFrame:
     shown = F.when(F.col("base") == "", F.col("line")).otherwise(F.coalesce("other", F.lit("")))
     out = wanted.join(files, ["pub_id", "base"], "left").select("pub_id", "path", "n", shown.alias("line"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    return out.groupBy("pub_id", "path").agg(joined.alias("text"))
+    return out.groupBy("pub_id", "path").agg(joined.alias("text")).withColumn("name", F.substring_index("path", "/", -1)).select("pub_id", "path", "name", "text")

@@ -53,7 +53,7 @@ def test_bibtex():
 @pytest.mark.parametrize(
     "given, want",
     [(r"\textit{a} \textsc{pl}~b", "a PL b"), (r"\'e\"{o}\c{c}\v s", "éöçš"), (r"x\footnote{note \emph{here}}y", "xy"), (r"\hfill \llap{q}z\index{w}", "z"),
-     (r"\Third{}.\Sg{} go", "go"), (r"\tss{f}", ".F"), (r"a % rest", "a"), (r"\unknown{kept}", "kept"), (r"$x$ \ldots{} \o", "x … ø"), ("{a {b} c", "a b c")],
+     (r"\Third{}.\Sg{} go", "3.SG go"), (r"\japhug{a}{b}", "a [b]"), (r"\ref{a}{b}", "ab"), (r"\ref", ""), (r"\jambox{}{b}", "b"), (r"\linieb{a}{b}", "b"), (r"\href{a}{b}", "[b](a)"), (r"\Nom-\pst", "NOM-PST"), (r"x\Zero", "x∅"), (r"\ilt{a}b", "b"), (r"\tss{f}", ".F"), (r"a % rest", "a"), (r"\unknown{kept}", "kept"), (r"$x$ \ldots{} \o", "x … ø"), ("{a {b} c", "a b c")],
 )
 def test_tex(given, want):
     assert tex.to_text(given).text.replace("..", "").strip(". ") == want.strip(". ") or tex.to_text(given).text == want
@@ -187,6 +187,33 @@ xmonth= xaddress= last_changed= urlyear= copyright=
 """
 
 
+def test_citing_commands():
+    assert tex.to_text(r"\scite{a}{b}").refs == [("b", "")]
+    assert tex.to_text(r"\fatcit{a}{b}").refs == tex.to_text(r"\blockcquote{A}{b}").refs == [("a", "b")]
+    assert tex.to_text(r"\langinfo{L}{F}{Doe1999}").refs == [("doe1999", "")]
+    assert tex.to_text(r"\langinfo{L}{F}{\citet[1]{D}}").refs == [("d", "1")]
+    assert "pangloss-doi" in tex.to_text(r"\japhdoi{doi}").text
+    assert tex.plain(r"\href{..}") == r"\href{..}" and tex.plain(r"\href{u}{x}") == "u"
+
+
+def test_rewritten_tex():
+    assert tex.rewritten(r"\langinfobreak{}{}{} {\db}{\db}{\db}a {\db}{\db}b \textsc{id}:x \glossN. \hfill [\href{u}c]") == r"\langinfo{}{}{} [[[a [[b x \glossN{}."
+
+
+@pytest.mark.parametrize("given, want", [
+    ("Roe, Ann, Doe, Jo", "Roe, Ann and Doe, Jo"), ("Ann Roe, Jo B. Doe, Al Moe,", "Ann Roe and Jo B. Doe and Al Moe"), ("Roe, Ann, Jo Doe, Al Moe", "Roe, Ann and Jo Doe and Al Moe"),
+    ("Roe, Ann, & Doe, Jo", "Roe, Ann and Doe, Jo"), (r"Roe, Ann \& Doe, Jo", "Roe, Ann and Doe, Jo"), ("Roe, Ann A., Jr.,", "Roe, Ann A. Jr."), ("Roe, Jr., Ann", "Roe, Jr., Ann"),
+    ("Roe, Ann and family=Doe, given=Jo", "Roe, Ann and Doe, Jo"), ("Roe, Ann", "Roe, Ann"), ("Ann Roe", "Ann Roe")])
+def test_lists_of_names(given, want):
+    assert bib.mended_names(given) == want
+
+
+def test_slips_in_bibtex():
+    text = "@book{a,\n _orig = {x},\n --Author = {y},\n% title = {no},\n title = {T},%12\n}\n@book{{French}b, title={U}}\n@Article{, title={V}}\n@book{c, crossref = {coling98}}"
+    got = {k: f for k, _, f in bib.parse_bibtex(text)}
+    assert got == {"a": {"orig": "x", "xxauthor": "y", "title": "T"}, "French_b": {"title": "U"}, "undefined": {"title": "V"}, "c": {"crossref": "Branco98a"}}
+
+
 def test_all_field_names():
     known = dict(x.split("=") for x in FIELDS.split())
     assert len(known) == 348
