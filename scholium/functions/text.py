@@ -116,6 +116,15 @@ def unbalanced_removed(c: Column) -> Column:
     return c
 
 
+def links(html: Column) -> Column:
+    """The targets of a page's links, in order."""
+    return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)
+
+
+def page_title(html: Column) -> Column:
+    return F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1)
+
+
 def strip_tex_comment(c: Column) -> Column:
     """A line up to its first unescaped %, with escaped ones as plain; a line break before % stays."""
     return F.when(

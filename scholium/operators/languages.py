@@ -61,6 +61,19 @@ def by_range(rows: DataFrame, ranges: DataFrame, number: str, on: str | None = N
     return rows.join(first, condition, "left").drop("_n", *[f"_{k}" for k in keys])
 
 
+def language_specs(rows: DataFrame, spec: str = "spec", on: str = "id") -> DataFrame:
+    """(on, code, lo, hi, ord) of specifications like 'abcd1234:1-20, efgh5678:-40'; a code alone holds for all numbers.
+
+    Without bounds a range starts at 0 and ends at 1000; a code that isn't one is an error, when the rows are read.
+    """
+    parts = rows.where(F.trim(F.coalesce(spec, F.lit(""))) != "").select(F.col(on), F.posexplode(F.split(spec, ",")).alias("ord", "part"))
+    code, span = F.trim(F.substring_index("part", ":", 1)), F.when(F.contains("part", F.lit(":")), F.substring_index("part", ":", -1)).otherwise("")
+    low, high = F.trim(F.substring_index(span, "-", 1)), F.when(F.contains(span, F.lit("-")), F.trim(F.substring_index(span, "-", -1))).otherwise("")
+    checked = F.when(code.rlike("^[a-z0-9]{4}[0-9]{4}$"), code).otherwise(F.raise_error(F.concat(F.lit("no language code: "), code)))
+    bound = lambda x, other: F.coalesce(F.nullif(x, F.lit("")).cast("int"), F.lit(other))
+    return parts.select(on, checked.alias("code"), bound(low, 0).alias("lo"), bound(high, 1000).alias("hi"), "ord")
+
+
 def default_language(examples: DataFrame, overrides: DataFrame, publications: DataFrame) -> DataFrame:
     """examples (pub_id, path, language_name) completed by a file's, else by the publication's object language."""
     files = overrides.select(F.col("pub_id").alias("_p"), F.col("path").alias("_f"), F.col("language").alias("_file"))

@@ -47,8 +47,9 @@ def read_books(spark: SparkSession, root: str) -> Corpus:
     mains = books.main_files(texts)
     texts = books.inlined(texts.withColumn("text", books.rewritten_udf("text")), mains)
     parts = books.included(texts, mains)
-    bibs = books.chosen_bibliographies(texts, mains, bibliographies.read_bibtex(spark, root))
-    refs = bibs.withColumnRenamed("key", "sid")
+    refs = books.chosen_bibliographies(texts, mains, bibliographies.read_bibtex(spark, root)).withColumnRenamed("key", "sid")
+    if listed is not None:
+        refs = refs.join(listed.select(F.col("ID").alias("pub_id")), "pub_id", "left_semi")
     cites = references.resolve_citations(books.citations(books.citing(texts, mains, parts)).select("pub_id", "key"), refs)
     short = parts.select("pub_id", "path", "name", "text").union(texts.where("name = 'abbreviations.tex'").select("pub_id", "path", "name", "text"))
     short = books.gloss_abbreviations(short)

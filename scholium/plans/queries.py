@@ -225,15 +225,11 @@ def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "prevline", "grp")
 
 
-@query(r"""SELECT doc_id, split_part(text, '%', 1) || '\%'[2:] || ' x ' AS line FROM documents WHERE NOT contains(text, '%') AND NOT contains(text, '\')""")
+@query(r"""
+SELECT doc_id, CASE WHEN contains(t, '\\%') THEN split_part(t, '\\%', 1) || '\\' ELSE replace(regexp_extract(t, '^(?:[^%\\]|\\.)*', 0, 's'), '\%', '%') END AS line
+FROM (SELECT doc_id, text || '\% x % y' AS t FROM documents)""")
 def tex_comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where(~F.col("text").contains("%") & ~F.col("text").contains("\\"))
-    return docs.select("doc_id", T.strip_tex_comment(F.concat("text", F.lit("\\% x % y"))).alias("line"))
-
-
-@query()
-def tex_comment_strip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments of all documents, also those with % or a backslash of their own, which the SQL above leaves out; NULL stays."""
+    """Comments of all documents; NULL stays."""
     return read(spark, sf_dir, "documents").select("doc_id", T.strip_tex_comment(F.concat("text", F.lit("\\% x % y"))).alias("line"))
 
 
@@ -277,21 +273,28 @@ def lgcode_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'a' || c_custkey AS pub_id, c_name AS creators, NULL AS isbn FROM customer UNION ALL SELECT 'b' || s_suppkey, s_name, 'x' FROM supplier")
 def union_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholium.plans import corpus
+    from scholium.sources.articles import Corpus
+
     a = read(spark, sf_dir, "customer").select(F.concat(F.lit("a"), "c_custkey").alias("pub_id"), F.col("c_name").alias("creators"))
     b = read(spark, sf_dir, "supplier").select(F.concat(F.lit("b"), "s_suppkey").alias("pub_id"), F.col("s_name").alias("creators"), F.lit("x").alias("isbn"))
-    return a.unionByName(b, allowMissingColumns=True)
+    return corpus.union({"a": Corpus(a, a, a, a, a), "b": Corpus(b, b, b, b, b)}, "publications").drop("provider")
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS n_links, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select(
-        "page_id", F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).cast("long").alias("n_links"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
+        "page_id", F.size(T.links(F.col("html"))).cast("long").alias("n_links"), T.page_title(F.col("html")).alias("title"))
 
 
 @query("SELECT p_partkey, 'b' || p_size || ' b' || (p_size + 1) AS rids FROM part")
 def xref_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholium.sources import articles
+
     xml = F.concat(F.lit('<a><xref ref-type="bibr" rid="b'), "p_size", F.lit('">x</xref><p>y <xref ref-type="fig" rid="f"/><xref rid="b'), F.col("p_size") + 1, F.lit('" ref-type="bibr"/></p></a>'))
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.xpath(xml, F.lit('//xref[@ref-type="bibr"]/@rid')), " ").alias("rids"))
+    cites = articles.corpus(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pub_id"), xml.alias("text"))).citations
+    rids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "sid"))), lambda x: x["sid"]), " ")
+    return cites.groupBy(F.col("pub_id").alias("p_partkey")).agg(rids.alias("rids"))
 
 
 @query("""
@@ -356,6 +359,118 @@ def abbreviation_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.abbreviations_for(rows, short).select("p_partkey", listed.alias("short"))
 
 
+@query("SELECT l_orderkey AS pub_id, count(*) AS n_examples FROM lineitem GROUP BY l_orderkey")
+def example_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references.example_counts(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pub_id")))
+
+
+@query("""
+WITH s AS (SELECT s_nationkey AS pub_id, 'k' || (s_suppkey % 4) AS alias, arg_max(s_name, s_suppkey) AS sid FROM supplier GROUP BY ALL)
+SELECT c_custkey, coalesce((SELECT string_agg(sid || ':' || n, ' ' ORDER BY n) FROM (
+  SELECT sid, 1 AS n FROM s WHERE s.pub_id = c_nationkey AND alias = 'k' || (c_custkey % 5) UNION ALL
+  SELECT sid, 2 FROM s WHERE s.pub_id = c_nationkey AND alias = 'k' || (c_custkey % 3))), '') AS sources FROM customer""")
+def example_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that examples cite, resolved in their publication."""
+    sources = read(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").alias("pub_id"), F.col("s_name").alias("sid"), F.array(F.concat(F.lit("k"), F.col("s_suppkey") % 4)).alias("alt_keys"), F.col("s_suppkey").alias("ord"))
+    cited = [F.struct(F.concat(F.lit("K"), F.col("c_custkey") % m).alias("sid"), F.lit(str(n)).alias("pages")) for n, m in ((1, 5), (2, 3))]
+    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("pub_id"), F.col("c_custkey").alias("id"), F.array(*cited).alias("sources"))
+    out = references.resolve_example_sources(rows, sources)
+    return out.select(F.col("id").alias("c_custkey"), F.array_join(F.transform("sources", lambda x: F.concat_ws(":", x["sid"], x["pages"])), " ").alias("sources"))
+
+
+@query("SELECT p_partkey, p_size % 3 <> 0 AS current, p_brand || ' ' || p_size || '. ' || p_name AS shown FROM part")
+def publication_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether publications are superseded, and how they are shown."""
+    from scholium import sinks
+
+    superseded = F.when(F.col("p_size") % 3 == 0, "True").when(F.col("p_size") % 3 == 1, "False")
+    rows = read(spark, sf_dir, "part").select("p_partkey", superseded.alias("superseded"), F.col("p_brand").alias("creators"), F.col("p_size").cast("string").alias("year"), F.col("p_name").alias("title"))
+    return rows.select("p_partkey", T.is_current(F.col("superseded")).alias("current"), sinks.publication_text().alias("shown"))
+
+
+@query("""SELECT p_partkey, (SELECT string_agg(upper(w[1]) || lower(w[2:]), ' ' ORDER BY i) FROM (SELECT unnest(string_split(p_name || ' ' || p_type, ' ')) AS w, generate_subscripts(string_split(p_name || ' ' || p_type, ' '), 1) AS i)) AS name FROM part""")
+def capitalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", T.capitalized(F.concat(F.lit("  "), "p_name", F.lit(" \n "), "p_type", F.lit(" "))).alias("name"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS sid, CASE WHEN p_size % 2 = 0 THEN p_type || ', ' || p_brand END AS editor, CASE WHEN p_size % 2 = 1 THEN p_type || ', ' || p_brand END AS author,
+  p_name AS title, CAST(1950 + p_size AS VARCHAR) AS year, 'Press' AS publisher, CASE WHEN p_size % 3 = 0 THEN '9' END AS isbn FROM part""")
+def catalog_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a catalogue as bibliographic entries."""
+    from scholium.sources import catalog
+
+    given = {"ID": F.col("p_partkey").cast("string"), "creators": F.concat("p_type", F.lit(", "), "p_brand"), "title": F.col("p_name"), "year": (1950 + F.col("p_size")).cast("string"),
+             "edited": F.when(F.col("p_size") % 2 == 0, "True"), "isbn": F.when(F.col("p_size") % 3 == 0, "9")}
+    rows = read(spark, sf_dir, "part").select(*[given.get(c, F.lit(None).cast("string")).alias(c) for c in catalog.COLUMNS])
+    out = catalog.as_sources(rows, publisher="Press")
+    return out.select("sid", *[F.element_at("fields", F.lit(c)).alias(c) for c in ("editor", "author", "title", "year", "publisher", "isbn")])
+
+
+@query("""
+SELECT p_partkey AS id, 'aaaa1234' AS code, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END AS lo, 1000 AS hi, 0 AS ord FROM part WHERE p_size % 5 <> 0
+UNION ALL SELECT p_partkey, 'bbbb5678', 0, p_size, 1 FROM part WHERE p_size % 5 <> 0""")
+def language_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages declared for ranges of numbers."""
+    size = F.col("p_size").cast("string")
+    spec = F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.concat(F.lit("aaaa1234"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(": "), size, F.lit("-"))).otherwise(""), F.lit(", bbbb5678:-"), size))
+    return languages.language_specs(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), spec.alias("spec")))
+
+
+@query("""
+SELECT c_custkey AS id, c_name AS primary_text, 'code' || n_nationkey AS language_id, n_name AS language_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 <> 0 AND c_custkey % 7 <> 0""")
+def dataset_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of a dataset with text and analysis, and their languages."""
+    from scholium.sources import datasets
+
+    named = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("code"), "n_nationkey").alias("languageCode"), F.col("n_name").alias("name"))
+    words = F.when(F.col("c_custkey") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("c_name"))
+    table = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("languageReference"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("primaryText"), words.alias("analyzedWord"))
+    return datasets.examples(table, named).select("id", F.col("primaryText").alias("primary_text"), "language_id", "language_name")
+
+
+@query("""
+SELECT n_nationkey AS id, string_agg('[c' || code || ']', '; ' ORDER BY 'c' || code) AS lgcode FROM (SELECT DISTINCT n_nationkey, s_suppkey % 6 AS code FROM nation JOIN supplier ON s_nationkey = n_nationkey) GROUP BY n_nationkey
+UNION ALL SELECT n_nationkey, NULL FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
+def source_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with the codes of the languages whose rows cite them, pages and all."""
+    from scholium.sources import datasets
+
+    cites = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("c"), F.col("s_suppkey") % 6).alias("languageCode"), F.array(F.concat("s_nationkey", F.lit("[3]"))).alias("source"))
+    sources = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("sid"), F.lit("misc").alias("genre"), F.create_map(F.lit("title"), "n_name", F.lit("cfn"), F.lit("x")).alias("fields"))
+    return datasets.sources_with_codes(sources, cites).select(F.col("sid").cast("long").alias("id"), F.element_at("fields", F.lit("lgcode")).alias("lgcode"))
+
+
+@query("""
+SELECT p_partkey, 'main.tex' AS path FROM part WHERE p_size % 4 = 0 UNION ALL SELECT p_partkey, 'b' || p_size || '.tex' FROM part WHERE p_size % 4 = 1
+UNION ALL SELECT p_partkey, 'sub/book.tex' FROM part WHERE p_size % 4 = 2 UNION ALL SELECT p_partkey, 'x.tex' FROM part WHERE p_size % 4 = 3""")
+def main_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main file of books, by Makefile, name, folder or document class."""
+    from scholium.sources import books
+
+    kind, own = F.col("p_size") % 4, F.concat(F.lit("b"), "p_size")
+    file = lambda path, text: F.struct(path.alias("path"), text.alias("text"))
+    plain, classed = F.lit("text"), F.lit("x\n\\documentclass{book}\n")
+    sets = F.when(kind == 0, F.array(file(F.lit("main.tex"), plain), file(F.lit("x.tex"), classed))).when(
+        kind == 1, F.array(file(F.lit("Makefile"), F.concat(F.lit("all:\n\txelatex -a "), own, F.lit("\n"))), file(F.concat(own, F.lit(".tex")), plain), file(F.lit("main.tex"), plain))
+    ).when(kind == 2, F.array(file(F.lit("sub/book.tex"), plain), file(F.lit("sub/y.tex"), classed))).otherwise(F.array(file(F.lit("x.tex"), classed), file(F.lit("sub/y.tex"), classed)))
+    texts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pub_id"), F.explode(sets).alias("f")).select("pub_id", "f.path", F.substring_index("f.path", "/", -1).alias("name"), "f.text")
+    return books.main_files(texts).select(F.col("pub_id").alias("p_partkey"), "path")
+
+
+@query(r"""SELECT p_partkey, 'a.tex' AS path, p_name || chr(10) || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END || chr(10) || 'end' AS text FROM part
+UNION ALL SELECT p_partkey, 'sub/b.tex', p_type FROM part WHERE p_size % 2 = 0""")
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with what they input put in its place."""
+    from scholium.sources import books
+
+    part = read(spark, sf_dir, "part")
+    one = part.select(F.col("p_partkey").alias("pub_id"), F.lit("a.tex").alias("path"), F.concat("p_name", F.lit("\n \\input{sub/B.tex}\nend")).alias("text"))
+    two = part.where("p_size % 2 = 0").select(F.col("p_partkey").alias("pub_id"), F.lit("sub/b.tex").alias("path"), F.col("p_type").alias("text"))
+    return books.inlined(one.union(two)).select(F.col("pub_id").alias("p_partkey"), "path", "text")
+
+
 @query()
 def merge_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bibliography merge with similar titles: first lines of documents as titles, their sources as creators."""

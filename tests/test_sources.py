@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from scholium import sinks
@@ -123,3 +124,69 @@ def test_books_cite_in_main_file_and_backmatter(spark, tmp_path):
         (tmp_path / "1" / name).write_text(text)
     got = corpus.read_books(spark, str(tmp_path)).citations.collect()
     assert sorted(r["sid"] for r in got) == ["inback", "inchapter", "inmain"]
+
+
+@pytest.fixture(scope="module")
+def dataset_root(tmp_path_factory):
+    root = tmp_path_factory.mktemp("datasets")
+    table = lambda name, *columns: {"url": f"{name}.csv", "dc:conformsTo": f"http://x/terms.rdf#{name}", "tableSchema": {"columns": [
+        {"name": c, "propertyUrl": f"http://x#{p}", **({"separator": s} if s else {})} for c, p, s in columns]}}
+    spec = {"tables": [
+        table("LanguageTable", ("ID", "id", ""), ("Glotto", "languageCode", ""), ("Name", "name", ""), ("Source", "source", ";")),
+        table("ExampleTable", ("ID", "id", ""), ("Lang", "languageReference", ""), ("Text", "primaryText", ""), ("Words", "analyzedWord", "\t"), ("Gloss", "gloss", "\t"), ("Said", "translatedText", "")),
+    ]}
+    write(root, **{
+        "catalog_dot_csv": "id,name,conceptdoi,source_to_language,hhtype,bib,igt,gloss_abbreviations\n1,one,10.1/x,LanguageTable,grammar,x,x,abbr.csv A B\n2,two,10.1/y,,,,,\n",
+        "one_dot_json": json.dumps({"doi": "10.1/1", "license": "CC-BY 4.0", "creators": ["Roe, A", "Doe, J"], "title": "One", "year": "2020", "version": "v1"}),
+        "two_dot_json": json.dumps({"doi": "10.1/2", "license": "CC-BY 4.0", "creators": ["Roe, A"], "title": "Two", "year": "2021", "version": "v2"}),
+        "one__m-metadata_dot_json": json.dumps(spec), "two__m-metadata_dot_json": json.dumps({"tables": []}),
+        "one__LanguageTable_dot_csv": "ID,Glotto,Name,Source\nl1,aaaa1111,Lang,s1[2];s2\n",
+        "one__ExampleTable_dot_csv": "ID,Lang,Text,Words,Gloss,Said\ne1,l1,wa ti,wa\tti,go\thouse,They go.\ne2,l1,,x,y,No text\n",
+        "one__abbr_dot_csv": "A,B\nPL,plural\n", "one__sources_dot_bib": "@book{s1, author={Moe, A}, title={A Title}, year=1999, cfn={x}}\n@book{s2, author={Poe, B}, title={Else}, year=2000}\n",
+        "two__sources_dot_bib": "@book{never, title={T}}\n"})
+    return str(root)
+
+
+def test_datasets_as_a_provider(spark, dataset_root, capsys):
+    from scholium import cli
+    from scholium.plans import corpus
+
+    got = datasets.read_datasets(spark, dataset_root)
+    assert {(r["pub_id"], r["title"], r["creators"]) for r in got.publications.collect()} == {("1", "One", "Roe, A & Doe, J"), ("2", "Two", "Roe, A")}
+    refs = {(r["pub_id"], r["sid"]): r["fields"] for r in got.references.collect()}
+    assert set(refs) == {("1", "s1"), ("1", "s2")}
+    assert refs["1", "s1"]["lgcode"] == "[aaaa1111]" and refs["1", "s1"]["hhtype"] == "grammar" and "cfn" not in refs["1", "s1"]
+    (example,) = got.examples.collect()
+    assert (example["local_id"], example["words"], example["language"], example["language_id"]) == ("e1", ["wa", "ti"], "Lang", "aaaa1111")
+    assert [tuple(r) for r in got.abbreviations.collect()] == [("1", "PL", "plural")]
+    cli.main(["bib", "dataset", dataset_root, "1"], spark)
+    assert "A Title" in capsys.readouterr().out
+    cli.main(["igt", "dataset", dataset_root, "1"], spark)
+    assert "(e1) Lang" in capsys.readouterr().out
+    loaded = corpus.load(spark, dataset=dataset_root)
+    assert {tuple(r["citekeys"]) for r in corpus.merged_bibliography(loaded).collect()} == {("dataset1:s1",), ("dataset1:s2",)}
+
+
+def test_an_unknown_language_is_an_error(spark):
+    table = spark.createDataFrame([(0, "e1", "l9", "x", ["x"])], "ord int, id string, languageReference string, primaryText string, analyzedWord array<string>")
+    langs = spark.createDataFrame([("l1", "aaaa1111", "One")], "id string, languageCode string, name string")
+    with pytest.raises(Exception, match="unknown language: l9"):
+        datasets.examples(table, langs).collect()
+
+
+def test_books_of_a_catalogue(spark, tmp_path):
+    from scholium.plans import corpus
+
+    example = "\\gll wa ti\\\\\n go house\\\\\n\\glt `They go \\citep[3]{Alias}.'\n"
+    catalog_rows = "ID\tDOI\tedited\tmetalanguage\tobjectlanguage\tlicense\tsuperseded\tpages\tseries\tseriesnumber\tcreators\ttitle\tyear\n"
+    catalog_rows += "1\td\t\teng\tSomali\tCC-BY 4.0\t\t\t\t\tRoe, A\tOne\t2020\n2\td\t\teng\t\tCC-BY 4.0\t\t\t\t\tRoe, A\tTwo\tForthcoming\n"
+    write(tmp_path, **{
+        "catalog_dot_tsv": catalog_rows, "1__main_dot_tex": "\\documentclass{book}\n\\bibliography{b}\n\\include{one}\n", "1__one_dot_tex": example + "\\input{more}\n", "1__more_dot_tex": "\\cite{roe2001}",
+        "1__a_dot_bib": "@book{never, title={N}, year=1900}\n", "1__b_dot_bib": "@book{doe1999, ids={alias}, author={Doe, J}, title={T}, year=1999}\n@book{roe2001, author={Roe, J}, title={U}, year=2001}\n",
+        "1__abbreviations_dot_tex": "PL & plural\\\\\n", "2__main_dot_tex": "\\documentclass{book}\n" + example, "2__b_dot_bib": "@book{x, title={X}}\n"})
+    got = corpus.read_books(spark, str(tmp_path))
+    assert [r["pub_id"] for r in got.publications.collect()] == ["1"]
+    assert {r["sid"] for r in got.references.collect()} == {"doe1999", "roe2001"}
+    assert {r["sid"] for r in got.citations.collect()} == {"doe1999", "roe2001"}
+    (row,) = got.examples.collect()
+    assert row["language"] == "Somali" and [tuple(s) for s in row["sources"]] == [("doe1999", "3")] and row["abbreviations"] == {"PL": "plural"}
