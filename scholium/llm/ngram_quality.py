@@ -39,7 +39,9 @@ BLOCK = 1 << 20
 
 
 def grams(data: np.ndarray, order: int) -> np.ndarray:
-    """The gram from each place of data, first byte highest."""
+    """The gram from each place of data, first byte highest; up to 7 bytes fit."""
+    if order > 7:
+        raise ValueError("a gram has at most 7 bytes")
     n = len(data) - order + 1
     out = np.zeros(max(n, 0), np.int64)
     for i in range(order):

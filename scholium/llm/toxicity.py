@@ -98,6 +98,8 @@ def threshold(p: np.ndarray, y: np.ndarray) -> float:
     gain = np.cumsum(y) / y.sum() - FALSE_COST * np.cumsum(1 - y) / (len(y) - y.sum())
     gain[:-1][p[:-1] == p[1:]] = -np.inf  # equal values go together
     best = int(gain.argmax())
+    if gain[best] <= 0:  # nothing tells them apart: nothing is predicted
+        return float("inf")
     return float((p[best] + p[min(best + 1, len(p) - 1)]) / 2)
 
 

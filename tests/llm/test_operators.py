@@ -635,3 +635,148 @@ def test_keep_first_goes_by_component(spark):
     got = [(r["doc_id"], r["text"]) for r in simhash.keep_first(docs).collect()]
     assert collections.Counter(x for x in got if x[1]) == collections.Counter([(None, a), (None, b), (1, c), (1, d), (0, e), table[8]])
     assert len([x for x in got if not x[1]]) == 1
+
+
+def test_quality_classifier_against_plain_kneser_ney(spark):
+    """Perplexities of word trigrams by dictionaries, for new documents and, without the word itself, for trusted ones."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    vocabulary = [rng.choice("bdk") + rng.choice("aeiou") + rng.choice("mn") for _ in range(12)]
+    say = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 25)))
+    trusted, new = [say() for _ in range(30)], [say() + rng.choice(["", " zzz", " q"]) for _ in range(15)]
+    texts = spark.createDataFrame([(i, t, "en") for i, t in enumerate(trusted + new)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    got = {r["key"]: r["perplexity"] for r in ngram_quality.judge(texts, labels).collect()}
+
+    spaced = texts.where("doc_id < 30").select(F.concat(F.lit("  "), F.regexp_replace("text", " ", "  "), F.lit("  ")).alias("text"))
+    (spelling,) = ngram_quality.shards(ngram_quality.counted(spaced, "text"))
+
+    def base(w):
+        data = np.frombuffer(b"  " + w.encode() + b" ", np.uint8)
+        return math.exp(spelling.log_probability(ngram_quality.grams(data, 3)).sum())
+
+    grams = lambda t: list(zip(["", "", *t.split()], ["", *t.split()], t.split()))
+    counts = [None, None, None, collections.Counter(g for t in trusted for g in grams(t))]
+    counts[2] = collections.Counter(g[1:] for g in counts[3])
+    counts[1] = collections.Counter(g[1:] for g in counts[2])
+    off = [None] + [ngram_quality.discounts(collections.Counter(c.values())) for c in counts[1:]]
+    D = lambda k, n: off[k][min(n, 3)]
+    total, left = collections.Counter(), collections.Counter()
+    for k in (1, 2, 3):
+        for g, n in counts[k].items():
+            total[k, g[:-1]] += n
+            left[k, g[:-1]] += D(k, n)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            raise AssertionError
+        lower = p(g[1:]) if k > 1 else base(g[0])
+        if not total[k, g[:-1]]:
+            return lower
+        n = counts[k][g]
+        return (n - D(k, n) + left[k, g[:-1]] * lower) / total[k, g[:-1]]
+
+    def own(g):
+        k, n, t, o = len(g), counts[len(g)][g], total[len(g), g[:-1]], left[len(g), g[:-1]]
+        fewer = o - D(k, n) + D(k, n - 1)
+        if n > 1:
+            return (n - 1 - D(k, n - 1) + fewer * (p(g[1:]) if k > 1 else base(g[0]))) / (t - 1)
+        if k == 1:
+            return fewer / (t - 1) * base(g[0])
+        return (max(o - off[k][1], 1e-9) / (t - 1) if t > 1 else 1) * own(g[1:])
+
+    for i, t in enumerate(trusted + new):
+        logs = [math.log((own if i < 30 else p)(g)) for g in grams(t)]
+        assert got[i] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-6), t
+
+
+def test_chain_against_plain_regressions():
+    """Weights, out-of-fold probabilities and thresholds as slow descents and plain loops give them."""
+    rng = np.random.default_rng(15)
+    x = (rng.random((120, 5)) < 0.4).astype(float)
+    first = (x[:, 0] + 0.3 * rng.normal(size=120) > 0.5).astype(float)
+    y = np.column_stack([first, ((x[:, 1] + first + 0.3 * rng.normal(size=120)) > 1.2).astype(float)])
+    chain = toxicity.train(x, y, ["one", "two"], {})
+
+    def plain(a, b):
+        w, ridge = np.zeros(a.shape[1]), np.r_[np.full(a.shape[1] - 1, toxicity.PENALTY), 1e-6]
+        for _ in range(60_000):
+            w -= 0.02 * (a.T @ (1 / (1 + np.exp(-a @ w)) - b) + ridge * w)
+        return w
+
+    ones, earlier = np.ones((120, 1)), np.empty((120, 0))
+    for j in range(2):
+        a = np.hstack([x, earlier, ones])
+        assert np.allclose(chain.weights[j], plain(a, y[:, j]), atol=0.02)
+        out = np.empty(120)
+        for f in range(toxicity.FOLDS):
+            held = np.arange(120) % toxicity.FOLDS == f
+            out[held] = 1 / (1 + np.exp(-a[held] @ plain(a[~held], y[~held, j])))
+        gain = lambda t: (out[y[:, j] == 1] >= t).mean() - toxicity.FALSE_COST * (out[y[:, j] == 0] >= t).mean()  # noqa: E731, B023
+        assert gain(chain.thresholds[j]) == pytest.approx(max(map(gain, out)), abs=1e-9)
+        earlier = np.hstack([earlier, out[:, None]])
+    p = chain.probabilities(x)
+    assert np.allclose(p[:, 1], 1 / (1 + np.exp(-np.column_stack([x, p[:, 0], np.ones(120)]) @ chain.weights[1])))
+
+
+def test_sharding_is_plain_lpt(spark, rows):
+    """The loads of all shards as sorting groups by size and a heap give them."""
+    import heapq
+
+    rng = random.Random(16)
+    table = [(i, "x" * rng.choice([1, 5, 5, 30, 200, 999])+ str(rng.randint(0, 40))) for i in range(700)]
+    got = collections.Counter()
+    for r in sharding.shard(spark.createDataFrame(table, "doc_id long, text string"), shards=7).collect():
+        got[r["shard"]] += r["size"]
+    groups = collections.Counter()
+    for _, t in table:
+        groups[t] += len(t) + 8
+    heap = [(0, j) for j in range(7)]
+    for size in sorted(groups.values(), reverse=True):
+        load, j = heap[0]
+        heapq.heapreplace(heap, (load + size, j))
+    assert got == collections.Counter({j: load for load, j in heap})
+
+
+def test_fillings_have_a_bound():
+    """The number of fillings depends on the window, not on how many pieces there are."""
+    rng = random.Random(17)
+    for scale in (1, 1000, 10**9):
+        histogram = {k: rng.randint(1, 50) * scale for k in range(1, 129)}
+        assert len(packing.plan(histogram, 128)) <= sum(1 + 128 // k for k in range(1, 129))
+
+
+def test_very_long_texts(spark):
+    """Texts of over a megabyte, one of them a single word, through every operator over documents."""
+    rng = random.Random(18)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(160_000))
+    table = [(1, long), (2, "start " + long[500_000:]), (3, "y" * 1_200_000), (4, "short"), (5, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in table], "doc_id long, text string, lang string, source string").repartition(2)
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.judge(docs).collect()} == {k: len(tokens(t)) for k, t in table}
+    assert {r["key"]: r["fp"] % 2**64 for r in simhash.fingerprints(docs.where("doc_id > 2")).collect()} == {k: plain_fingerprint(t) for k, t in table[2:]}
+    got = {r["key"]: r for r in suffix_dedup.digests(docs).collect()}
+    assert got[2]["n_removed"] == len(long) - 500_000 and got[2]["n_spans"] == 1 and got[1]["n_removed"] == 0
+    assert got[3]["n_removed"] == 0
+    assert toxicity.keep_clean(docs, labels).count() == 5
+    assert ngram_quality.judge(docs, labels).count() == 5
+    sizes = {r["key"]: r["size"] for r in sharding.shard(docs).collect()}
+    assert sizes == {k: len(t or "") + 8 for k, t in table}
+    back = {r["key"]: r["decoded_sha256"] for r in bpe.round_trip(docs, multi(), public_tokenizers.PATTERN).collect()}
+    assert back == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in table}
+    packed = packing.pack(docs, gpt()).groupBy("key").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(packed) == 5 and all(r["sum(length)"] == r["max(doc_tokens)"] for r in packed)
+
+
+def test_names_that_clash(spark):
+    """Rows keep columns of any name where whole rows are kept, as they were."""
+    rng = random.Random(19)
+    names = ["toxic", "low_quality", "p_toxic", "_text", "_words", "n_words", "row", "v", "t", "w", "_key", "mine", "hash", "host", "base_failed"]
+    table = [(i, " ".join(f"w{rng.randrange(999)}" for _ in range(70)), "s", *["z"] * len(names)) for i in range(6)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    for kept in (toxicity.keep_clean(docs, labels), quality_rules.keep_good(docs), simhash.keep_first(docs), suffix_dedup.remove_repeats(docs)):
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == sorted(table)
