@@ -27,8 +27,6 @@ from scholium.llm.common import cut, ranked, small_batches, tidy
 
 WINDOW = 2048
 END_ID = 1
-#: Entries of a task's cache of encoded chunks, each of CHUNK characters at most; others are encoded again.
-CACHE, CHUNK = 200_000, 32
 
 
 #: How byte-level BPE splits a text before its merges.
@@ -53,31 +51,27 @@ def ranks_of(definition: dict) -> dict[bytes, int] | None:
     return {bytes(map(letters.__getitem__, t)): i for t, i in vocabulary.items() if t not in special}
 
 
-class CachedTokenizer:
+class Tokens:
     """Ids of whole texts as the tokenizers library gives them, as little-endian unsigned 32-bit integers.
 
-    The pre-tokenizer of byte-level BPE never joins what a space parts, if what precedes
-    the space isn't white space itself: such chunks are encoded once and kept. Other
-    texts are encoded whole. Definitions of plain byte-level BPE, whose ids are ranks, are
-    run by tiktoken, which gives the same ids in a fraction of the time; others by the
-    library itself. So are texts that hold the string of an added token, which the
-    library gives the id of that token.
+    Definitions of plain byte-level BPE, whose ids are ranks, are run by tiktoken, which
+    gives the same ids in a fraction of the time; others by the library itself. So are
+    texts that hold the string of an added token, which the library gives the id of that
+    token.
     """
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.definition, self.cache, self._library = definition, {}, None
+        self.definition, self._library = definition, None
         read = json.loads(definition)
         added = [t["content"] for t in read.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
         ranks = ranks_of(read)
+        self._ids = None
         if ranks:
             import tiktoken
 
-            ordinary = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self._encode = lambda texts: [array("I", ordinary(t)).tobytes() for t in texts]
-        else:
-            self._encode = self.by_library
+            self._ids = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def by_library(self, texts: list[str]) -> list[bytes]:
         if self._library is None:
@@ -87,25 +81,9 @@ class CachedTokenizer:
         return [array("I", e.ids).tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        special = [i for i, t in enumerate(texts) if self.added(t)]
-        if special:
-            own = dict(zip(special, self.by_library([texts[i] for i in special]), strict=True))
-            rest = iter(self._plain([t for i, t in enumerate(texts) if i not in own]))
-            return [own[i] if i in own else next(rest) for i in range(len(texts))]
-        return self._plain(texts)
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        cut_up = [spaced(t) for t in texts]
-        cache = self.cache
-        new = list({c for chunks in cut_up if chunks for c in chunks if c not in cache})
-        cache.update(zip(new, self._encode(new), strict=True))
-        whole = iter(self._encode([t for t, chunks in zip(texts, cut_up, strict=True) if not chunks]))
-        out = [b"".join(map(cache.__getitem__, chunks)) if chunks else next(whole) for chunks in cut_up]
-        room = CACHE - len(cache) + len(new)
-        for i, c in enumerate(new):
-            if i >= room or len(c) > CHUNK:
-                del cache[c]
-        return out
+        if not self._ids:
+            return self.by_library(texts)
+        return [self.by_library([t])[0] if self.added(t) else self._ids(t).astype("<u4").tobytes() for t in texts]
 
 
 def spaced(text: str) -> list[str] | None:
@@ -127,7 +105,7 @@ def pieces(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = CachedTokenizer(shipped.value), np.array([END_ID], "<u4").tobytes()
+        own, end = Tokens(shipped.value), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             encoded = own.encode([t or "" for t in batch.column(1).to_pylist()])

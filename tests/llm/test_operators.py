@@ -452,7 +452,7 @@ def test_tokens_as_the_library_gives_them():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_str(gpt())
-    own = packing.CachedTokenizer(gpt())
+    own = packing.Tokens(gpt())
     texts = [plain.decode([i]) for i in range(0, 50256, 7)] + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>  y", "a  b", " a", "a ", "a\n b", "a \nb\n \nc"]
     want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
     assert own.encode(texts) == want
