@@ -158,7 +158,7 @@ def fold_fields(placed: DataFrame) -> DataFrame:
 
 
 #: Parts of paths whose files are no sources of text: archives, settings, figures, what programs have made.
-NOT_FETCHED = tuple("__MACOSX .texpadtmp biblatex-sp-unified bibstyles.deprecated bibstyles/ draftinfo.tex Figures/ figures/ generated/ graphics/ langsci-hyphenation langsci/locale pdf/ seriesinfo styles/tcb".split())
+NOT_FETCHED = tuple("__MACOSX .texpadtmp biblatex-sp-unified bibstyles.deprecated bibstyles/ draftinfo.tex Figures/ figures/ generated/ graphics/ -hyphenation /locale pdf/ seriesinfo styles/tcb".split())
 
 
 def fetchable(tree: DataFrame, excluded: tuple[str, ...] = NOT_FETCHED) -> DataFrame:
