@@ -12,10 +12,10 @@ word of a trusted document is scored by counts without itself (leaving one out).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.common import SPACE, cut, small_batches, tidy
+from scholium.llm.common import SPACE, discard, small_batches, tidy
+from scholium.llm.common import cut as _cut
 
 #: Words of a gram, and bytes of one of the spelling model.
 ORDER, SPELLING = 3, 3
@@ -32,10 +33,35 @@ ORDER, SPELLING = 3, 3
 SHARD = 2_000_000
 #: Stands for the words before the first.
 START = 0
+#: Which bytes separate words, as for bytes.split(), the first bytes of eight, and the longest word that is coded with others.
+IS_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+HEADS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG = 64
 #: Documents beyond this quantile of the trusted ones' perplexity, in their language, are rejected.
 QUANTILE = 0.99
 #: Bytes of text whose grams a worker holds at a time.
 BLOCK = 1 << 20
+#: Grams are counted and scored in this many slices, in fewer if these had less text than so many bytes.
+SLICES, SLICE = 8, 16 << 20
+#: Words that a task remembers to have spelt, about.
+SEEN = 200_000
+
+
+#: While a table is written: its shuffle files go when it is done, and text is packed tighter than by default.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """As common.cut, but the shuffle files of df's plan go at once: nothing else here reads them."""
+    conf = df.sparkSession.conf
+    before = {name: conf.get(name, None) for name in WRITING}
+    try:
+        for name, value in WRITING.items():
+            conf.set(name, value)
+        return _cut(df)
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def grams(data: np.ndarray, order: int) -> np.ndarray:
@@ -167,49 +193,96 @@ def shards(counts: DataFrame, order: int = SPELLING, size: int = 1 << 8 * SPELLI
         yield Shard(order, low, high, table(got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64), top), lower)
 
 
+def _places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of data start and end."""
+    inside = np.r_[False, ~IS_SPACE[data], False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 64-bit code of each word of data, eight bytes after the other; none is START. Words of over LONG bytes get their XXH64."""
+    data, n = np.r_[data, np.zeros(8, np.uint8)], ends - starts
+    h = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    some = np.flatnonzero(n <= LONG)
+    for at in range(0, LONG, 8):
+        some = some[n[some] > at] if at else some
+        for i in range(0, len(some), 1 << 17):
+            now = some[i : i + (1 << 17)]
+            x = data[(starts[now] + at)[:, None] + np.arange(8)].view("<u8")[:, 0] & HEADS[np.minimum(n[now] - at, 8)]
+            x ^= h[now]
+            for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                x = (x ^ x >> np.uint64(33)) * np.uint64(factor)
+            h[now] = x ^ x >> np.uint64(33)
+    for i in np.flatnonzero(n > LONG):
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return np.where(h == START, np.uint64(1), h).view(np.int64)
+
+
 def _codes(words: list[bytes]) -> np.ndarray:
-    """The 64-bit code of each word; none is START."""
-    return np.array([xxhash.xxh64_intdigest(w) or 1 for w in words], np.uint64).view(np.int64)
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    return _coded(data, *_places(data))
 
 
 def _columns(order: int) -> list[str]:
     return [f"w{i}" for i in range(order)]
 
 
-def word_grams(docs: DataFrame, order: int) -> DataFrame:
-    """(row, own, w0, w1, ...): every word of docs (row, own, text) with those before it. Texts with fewer bytes than the order have none."""
+def word_grams(docs: DataFrame, order: int, slices: int = 1, piece: int = 0) -> DataFrame:
+    """(row, own, w0, w1, ...): every word of docs (row, own, text) with those before it. Texts with fewer bytes than the order have none.
+
+    Only those are returned whose last word but one falls into this piece of all slices.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, flags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            got = [[] for _ in range(order)]
-            n = []
-            for text in batch.column(2).to_pylist():
-                data = (text or "").encode()
-                words = data.split() if len(data) >= order else []
-                n.append(len(words))
-                padded = np.r_[np.full(order - 1, START), _codes(words)]
-                for i in range(order):
-                    got[i].append(padded[i : i + len(words)])
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, n)), pa.array(np.repeat(flags, n)), *[pa.array(np.concatenate(g)) for g in got]], ["row", "own", *_columns(order)])
+            texts = [t if t and len(t) >= order else b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            data = np.frombuffer(b" ".join(texts), np.uint8)
+            starts, ends = _places(data)
+            codes, at = _coded(data, starts, ends), np.arange(len(starts))
+            n = np.diff(np.r_[0, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))])
+            first = np.repeat(np.cumsum(n) - n, n)
+            got = [np.where(at - i < first, START, np.roll(codes, i)) for i in range(order - 1, -1, -1)]
+            keep = got[-2].view(np.uint64) % slices == piece if slices > 1 else slice(None)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (np.repeat(rows, n), np.repeat(flags, n), *got)], ["row", "own", *_columns(order)])
 
     return docs.select("row", "own", "text").mapInArrow(tidy(run), "row long, own boolean, " + ", ".join(f"{c} long" for c in _columns(order)))
 
 
+def _spelling(words: list[bytes], model: Shard) -> np.ndarray:
+    """The log-probability of each word as a sequence of bytes up to a space, about BLOCK bytes at a time."""
+    before, after = b" " * (model.order - 1), b" " * max(model.order - 1, 1)
+    out, first, size = np.zeros(len(words)), 0, 0
+    for last, word in enumerate(words, 1):
+        size += len(word) + len(after)
+        if size >= BLOCK or last == len(words):
+            n = np.array([len(w) + len(after) for w in words[first:last]])
+            at = np.repeat(np.arange(first, last), n)
+            # Of what separates words, only the first space is predicted.
+            inside = np.arange(size) - np.repeat(np.cumsum(n) - n, n) <= np.repeat(n, n) - len(after)
+            done = 0
+            for g, _ in _parts([before + after.join(words[first:last]) + after], model.order):
+                part = slice(done, done + len(g))
+                codes, different = pd.factorize(g)
+                out += np.bincount(at[part], model.log_probability(different)[codes] * inside[part], len(words))
+                done += len(g)
+            first, size = last, 0
+    return out
+
+
 def spelt(docs: DataFrame, model: Shard) -> DataFrame:
     """(w, base): each different word of docs and its probability as a sequence of bytes up to a space."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the alphabet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+        model, seen = shipped.value, set()
         for batch in batches:
-            words = list({w for t in batch.column(0).to_pylist() for w in (t or "").encode().split()})
-            s = np.zeros(len(words))
-            for g, at in _parts([b" " * (model.order - 1) + w + b" " for w in words], model.order):
-                codes, different = pd.factorize(g)
-                s += np.bincount(at, model.log_probability(different)[codes], len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(_codes(words), pa.int64()), pa.array(s)], ["w", "base"])
+            words = list({w for t in batch.column(0).to_pylist() for w in (t or "").encode().split()} - seen)
+            if len(seen) > SEEN:
+                seen = set()
+            seen.update(w for w in words if len(w) <= 64)
+            yield pa.RecordBatch.from_arrays([pa.array(_codes(words), pa.int64()), pa.array(_spelling(words, model))], ["w", "base"])
 
     return docs.select("text").mapInArrow(tidy(run), "w long, base double").groupBy("w").agg(F.min("base").alias("base"))
 
@@ -218,71 +291,137 @@ def _off(n: Column, d: np.ndarray) -> Column:
     return F.when(n == 1, d[1]).when(n == 2, d[2]).when(n > 2, d[3]).otherwise(0.0)
 
 
+def _parts_of(table: DataFrame, shard: int) -> int:
+    """Shuffle partitions for a table with about shard rows in each."""
+    return max(-(-table.count() // shard), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _dealt(table: DataFrame, parts: int, keys: list[str]) -> DataFrame:
+    """A table with different keys, to be joined by shuffle whatever its size today. A task hashes its share of it, and nothing is sorted."""
+    return table.repartition(parts, *keys).hint("shuffle_hash")
+
+
+def _counts(grams: DataFrame, order: int) -> list[DataFrame]:
+    """(w..., n) of each order from 2, or of the only one; a lower order counts the different words before a gram."""
+    names = _columns(order)
+    counts = [cut(grams.groupBy(*names).agg(F.count("*").alias("n")))]
+    for k in range(order - 1, 1, -1):
+        counts.insert(0, cut(counts[0].groupBy(*names[order - k :]).agg(F.count("*").alias("n"))))
+    return counts
+
+
+def _few(counts: DataFrame) -> dict[int, int]:
+    """How many grams occur 1, 2, 3 and 4 times."""
+    return {int(r["n"]): r["count"] for r in counts.where("n <= 4").groupBy("n").count().collect()}
+
+
+def _singles(counts: DataFrame, order: int) -> DataFrame:
+    """(w, n) of the single words, from the lowest of _counts."""
+    last = _columns(order)[-1]
+    return counts if order == 1 else counts.groupBy(last).agg(F.count("*").alias("n"))
+
+
 def word_model(grams: DataFrame, words: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """From the grams of trusted text: for each order from 1 (w..., lp, lp1) and (context..., rest, rest1), as logarithms.
 
     lp1 and rest1 are without the occurrence that is scored, NULL if there is no other. The
     first order has every word of words (w, base), also those of no trusted text.
     """
-    names = _columns(order)
-    counts = [cut(grams.groupBy(*names).agg(F.count("*").alias("n")))]
-    for k in range(order - 1, 0, -1):  # a lower order counts the different words before a gram
-        counts.insert(0, cut(counts[0].groupBy(*names[order - k :]).agg(F.count("*").alias("n"))))
-    known, rests = [], []
+    counts = _counts(grams, order)
+    single = cut(_singles(counts[0], order))
+    known, rests = _higher(counts, _first(single, words, order), [discounts(_few(c)) for c in counts], order)
+    discard(single)
+    return known, rests
+
+
+def _first(now: DataFrame, words: DataFrame, order: int) -> DataFrame:
+    """The first order's table, from (w, n) and all words (w, base)."""
+    last, d = _columns(order)[-1], discounts(_few(now))
+    n, total, left = F.col("n"), F.col("total"), F.col("left")
+    t, o = now.agg(F.sum("n"), F.sum(_off(n, d))).first()
+    both = words.join(now.withColumns({"total": F.lit(t), "left": F.lit(o)}), words["w"] == now[last], "left").select(
+        words["w"].alias(last), "base", "n", "total", "left")
+    share, share1 = (n - _off(n, d)) / total, (n - 1 - _off(n - 1, d)) / (total - 1)
+    # Logarithms are added up as long as they can be: exp(base) may be 0.
+    unknown = F.lit(float(np.log(o / t)) if t else 0.0) + F.col("base")
+    unknown1 = F.when(total > 1, F.log((left - _off(n, d) + _off(n - 1, d)) / (total - 1)) + F.col("base")).otherwise(F.col("base"))
+    lp = F.when(n.isNull(), unknown).otherwise(F.log(share + F.exp(unknown)))
+    lp1 = F.when(n > 1, F.log(share1 + F.exp(unknown1))).otherwise(unknown1)
+    return cut(both.select(last, lp.alias("lp"), lp1.alias("lp1")))
+
+
+def _higher(counts: list[DataFrame], first: DataFrame, off: list[np.ndarray], order: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """All orders' tables, from the counts of those above the first, which go, and their discounts."""
+    names, known, rests = _columns(order), [first], [None]
     n, total, left = F.col("n"), F.col("total"), F.col("left")
-    for k, now in enumerate(counts, 1):
-        own, d = names[order - k :], discounts({int(r["n"]): r["count"] for r in now.where("n <= 4").groupBy("n").count().collect()})
-        sums = F.sum("n").alias("total"), F.sum(_off(n, d)).alias("left")
+    for k, now, d in zip(range(2, order + 1), counts, off):
+        own = names[order - k :]
         fewer = left - _off(n, d) + _off(n - 1, d)
-        if k == 1:
-            t, o = now.agg(*sums).first()
-            both = words.join(now.withColumns({"total": F.lit(t), "left": F.lit(o)}), words["w"] == now[own[0]], "left").select(
-                words["w"].alias(own[0]), "base", "n", "total", "left")
-            share, share1 = (n - _off(n, d)) / total, (n - 1 - _off(n - 1, d)) / (total - 1)
-            # Logarithms are added up as long as they can be: exp(base) may be 0.
-            unknown = F.lit(float(np.log(o / t)) if t else 0.0) + F.col("base")
-            unknown1 = F.when(total > 1, F.log(fewer / (total - 1)) + F.col("base")).otherwise(F.col("base"))
-            lp = F.when(n.isNull(), unknown).otherwise(F.log(share + F.exp(unknown)))
-            lp1 = F.when(n > 1, F.log(share1 + F.exp(unknown1))).otherwise(unknown1)
-            known.append(cut(both.select(own[0], lp.alias("lp"), lp1.alias("lp1"))))
-            rests.append(None)
-        else:
-            contexts = cut(now.groupBy(*own[:-1]).agg(*sums))
-            p = (n - _off(n, d) + left * F.exp("lp")) / total
-            p1 = F.when(n > 1, F.log((n - 1 - _off(n - 1, d) + fewer * F.exp("lp")) / (total - 1)))
-            joined = now.join(contexts, own[:-1]).join(known[-1].select(*own[1:], "lp"), own[1:])
-            known.append(cut(joined.select(*own, F.log(p).alias("lp"), p1.alias("lp1"))))
-            rest1 = F.when(total > 1, F.log(F.greatest(left - d[1], F.lit(1e-9)) / (total - 1)))
-            rests.append(contexts.select(*own[:-1], F.log(left / total).alias("rest"), rest1.alias("rest1")))
+        contexts = cut(now.groupBy(*own[:-1]).agg(F.sum("n").alias("total"), F.sum(_off(n, d)).alias("left")))
+        parts = _parts_of(now, SHARD)
+        p = (n - _off(n, d) + left * F.exp("lp")) / total
+        p1 = F.when(n > 1, F.log((n - 1 - _off(n - 1, d) + fewer * F.exp("lp")) / (total - 1)))
+        joined = now.join(_dealt(contexts, parts, own[:-1]), own[:-1]).join(_dealt(known[-1].select(*own[1:], "lp"), parts, own[1:]), own[1:])
+        known.append(cut(joined.select(*own, F.log(p).alias("lp"), p1.alias("lp1"))))
+        rest1 = F.when(total > 1, F.log(F.greatest(left - d[1], F.lit(1e-9)) / (total - 1)))
+        rests.append(cut(contexts.select(*own[:-1], F.log(left / total).alias("rest"), rest1.alias("rest1"))))
+        discard(now, contexts)
     return known, rests
 
 
+def sums(docs: DataFrame, words: DataFrame, order: int, shard: int, slices: int) -> DataFrame:
+    """(row, s, n) as log_probabilities, for docs (row, own, text) under the model of those with own; words (w, base) has all their words.
+
+    The work is done in slices by the last word but one, with which all grams of a context
+    meet, also those of the lower orders, except for single words. These and the discounts
+    come first, so grams are counted twice, but never more than a slice of them are on disk.
+    """
+    slices = slices if order > 1 else 1
+    good, few, single = docs.where("own"), [Counter() for _ in range(max(order - 1, 1))], []
+    for piece in range(slices):
+        counts = _counts(word_grams(good, order, slices, piece), order)
+        for some, c in zip(few, counts, strict=True):
+            some.update(_few(c))
+        single.append(cut(_singles(counts[0], order)))
+        discard(*counts)
+    now = cut(reduce(DataFrame.unionByName, single).groupBy(_columns(order)[-1]).agg(F.sum("n").alias("n")))
+    first = _first(now, words, order)
+    discard(now, *single)
+    found = []
+    for piece in range(slices):
+        known, rests = _higher(_counts(word_grams(good, order, slices, piece), order) if order > 1 else [], first, [discounts(c) for c in few], order)
+        found.append(cut(log_probabilities(word_grams(docs, order, slices, piece), known, rests, order, shard)))
+        discard(*known[1:], *rests[1:])
+    discard(first)
+    out = cut(reduce(DataFrame.unionByName, found).groupBy("row").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    discard(*found)
+    return out
+
+
 def log_probabilities(grams: DataFrame, known: list[DataFrame], rests: list[DataFrame], order: int, shard: int = SHARD) -> DataFrame:
     """(row, s, n): the sum of the log-probabilities of a row's words, and how many there are; rows with own leave theirs out."""
-    names, spark = _columns(order), grams.sparkSession
-    parts = max(-(-known[-1].count() // shard), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    now, found = grams.withColumn("s", F.lit(0.0)), []
+    names = _columns(order)
+    parts, now, found = _parts_of(known[-1], shard), grams.withColumn("s", F.lit(0.0)), []
     for k in range(order, 0, -1):
         own = names[order - k :]
-        # Tables and documents grow alike, so both are shuffled.
-        table = known[k - 1].repartition(parts, *own).hint("merge")
-        hits = now.join(table, own).withColumn("p", F.when(F.col("own"), F.col("lp1")).otherwise(F.col("lp"))).where("p is not null")
-        found.append(cut(hits.groupBy("row").agg(F.sum(F.col("s") + F.col("p")).alias("s"), F.count("*").alias("n"))))
+        # Tables and documents grow alike, so both are shuffled; once for what is found and what is missed.
+        met = now.join(_dealt(known[k - 1], parts, own), own, "left").withColumn("p", F.when(F.col("own"), F.col("lp1")).otherwise(F.col("lp")))
+        missed = F.col("p").isNull()
+        met = cut(met.select("row", "own", *[F.when(missed, F.col(c)).alias(c) for c in own], (F.col("s") + F.coalesce("p", F.lit(0.0))).alias("s"), missed.alias("missed")))
+        found.append(cut(met.where("not missed").groupBy("row").agg(F.sum("s").alias("s"), F.count("*").alias("n"))))
+        if k < order:
+            discard(now)
         if k > 1:
-            named = table.withColumnsRenamed({c: f"_{c}" for c in own})
-            same = reduce(and_, [F.col(c) == F.col(f"_{c}") for c in own]) & (~F.col("own") | F.col("lp1").isNotNull())
-            missed = now.join(named, same, "left_anti").join(rests[k - 1], own[:-1], "left")
             rest = F.coalesce(F.when(F.col("own"), F.col("rest1")).otherwise(F.col("rest")), F.lit(0.0))
-            now = cut(missed.select("row", "own", *own[1:], (F.col("s") + rest).alias("s")))
-    every = found[0]
-    for some in found[1:]:
-        every = every.unionByName(some)
-    return every.groupBy("row").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+            left = met.where("missed").join(_dealt(rests[k - 1], parts, own[:-1]), own[:-1], "left")
+            now = cut(left.select("row", "own", *own[1:], (F.col("s") + rest).alias("s")))
+        discard(met)
+    return reduce(DataFrame.unionByName, found).groupBy("row").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def judge(
     docs: DataFrame, labels: DataFrame, trusted: str = "quality = 1", key: str = "doc_id", text: str = "text", lang: str = "lang",
-    order: int = ORDER, shard: int = SHARD, quantile: float = QUANTILE,
+    order: int = ORDER, shard: int = SHARD, quantile: float = QUANTILE, slices: int | None = None,
 ) -> DataFrame:
     """(key, lang, n_grams, perplexity, threshold, kept) for each row of docs; n_grams counts words.
 
@@ -301,13 +440,18 @@ def judge(
     gap = " " * (SPELLING - 1)
     spaced = good.select(F.concat(F.lit(gap), F.regexp_replace("text", SPACE, gap), F.lit(gap)).alias("text"))
     (spelling,) = shards(cut(counted(spaced, "text")))
-    known, rests = word_model(word_grams(good, order), cut(spelt(own, spelling)), order)
-    scored = log_probabilities(word_grams(own, order), known, rests, order, shard)
+    words = cut(spelt(own, spelling))
+    if slices is None:
+        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        slices = min(SLICES, 1 + size // SLICE)
+    summed = sums(own.select("row", "own", "text"), words, order, shard, slices)
+    discard(words)
     # Repeated rows share their sums, which n evens out.
-    scored = scored.select(F.col("row").alias("_row"), "n", F.exp(-F.col("s") / F.col("n")).alias("perplexity"))
+    scored = summed.select(F.col("row").alias("_row"), "n", F.exp(-F.col("s") / F.col("n")).alias("perplexity"))
     copies = own.groupBy("row").agg(F.count("*").alias("c"))
     found = scored.join(copies, scored["_row"] == copies["row"]).select("_row", (F.col("n") / F.col("c")).cast("long").alias("n"), "perplexity")
     judged = cut(own.select("key", "lang", "row", "own").join(found, F.col("row") == F.col("_row"), "left").select("key", "lang", "own", F.coalesce("n", F.lit(0)).alias("n"), "perplexity"))
+    discard(own, summed)
     good = judged.where("own and perplexity is not null")
     limit = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = good.where("lang is not null").groupBy(F.col("lang").alias("_lang")).agg(limit.alias("_limit"))

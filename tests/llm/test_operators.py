@@ -780,3 +780,48 @@ def test_names_that_clash(spark):
     for kept in (toxicity.keep_clean(docs, labels), quality_rules.keep_good(docs), simhash.keep_first(docs), suffix_dedup.remove_repeats(docs)):
         assert kept.columns == docs.columns
         assert sorted(map(tuple, kept.collect())) == sorted(table)
+
+
+def test_quality_classifier_in_slices(spark, monkeypatch):
+    """Slices change no perplexity, bound what is on disk at a time, and leave one table of small rows."""
+    import os
+
+    from scholium.llm import common
+
+    def folder():
+        return [os.path.join(at, f) for at, _, files in os.walk(common._folder(spark)) for f in files if f.endswith(".parquet")]
+
+    rng = random.Random(21)
+    table = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(600)), "en") for i in range(120)]
+    texts = spark.createDataFrame([*table, (900, "a", "en"), (901, None, "en"), table[3]], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    sizes, write = [], ngram_quality.cut
+
+    def weighed(df):
+        out = write(df)
+        sizes.append(sum(map(os.path.getsize, set(folder()) - before)))
+        return out
+
+    monkeypatch.setattr(ngram_quality, "cut", weighed)
+    got, most = [], []
+    for slices in (1, 5):
+        before, sizes[:] = set(folder()), []
+        judged = ngram_quality.judge(texts, labels, slices=slices)
+        got.append({r["key"]: r["perplexity"] for r in judged.collect()})
+        most.append(max(sizes))
+        assert sum(map(os.path.getsize, set(folder()) - before)) < 0.2 * most[0]
+    assert got[0].keys() == got[1].keys() and got[0][900] is None
+    assert [got[0][k] for k in range(120)] == pytest.approx([got[1][k] for k in range(120)])
+    assert most[1] < 0.6 * most[0]
+
+
+def test_codes_of_words():
+    """Words are those of bytes.split(), and different words of all lengths have different codes, in any company."""
+    for text in (b"", b" \n", b"a", b" a  b\tc\x0b\x1cd\xc2\xa0e\r"):
+        data = np.frombuffer(text, np.uint8)
+        assert [text[i:j] for i, j in zip(*ngram_quality._places(data), strict=True)] == text.split()
+    rng = random.Random(22)
+    some = sorted({bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(1, 80))) for _ in range(20_000)})
+    codes = ngram_quality._codes(some).tolist()
+    assert len(set(codes)) == len(some) and 0 not in codes
+    assert [c for w in some[:50] for c in ngram_quality._codes([w]).tolist()] == codes[:50]
