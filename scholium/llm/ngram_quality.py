@@ -264,7 +264,7 @@ def _spelling(words: list[bytes], model: Shard) -> np.ndarray:
             done = 0
             for g, _ in _parts([before + after.join(words[first:last]) + after], model.order):
                 part = slice(done, done + len(g))
-                codes, different = pd.factorize(g)
+                codes, different = pd.factorize(g, sort=True)
                 out += np.bincount(at[part], model.log_probability(different)[codes] * inside[part], len(words))
                 done += len(g)
             first, size = last, 0
@@ -370,7 +370,7 @@ def _higher(counts: list[DataFrame], first: DataFrame, off: list[np.ndarray], or
 
 
 def sums(docs: DataFrame, words: DataFrame, order: int, shard: int, slices: int) -> DataFrame:
-    """(row, s, n) as log_probabilities, for docs (row, own, text) under the model of those with own; words (w, base) has all their words.
+    """(row, s, n) as log_probabilities, for docs (row, own, text) under the model of those with own; words (w, base) has all their words, and goes.
 
     The work is done in slices by the last word but one, with which all grams of a context
     meet, also those of the lower orders, except for single words. These and the discounts
@@ -386,11 +386,11 @@ def sums(docs: DataFrame, words: DataFrame, order: int, shard: int, slices: int)
         discard(*counts)
     now = cut(reduce(DataFrame.unionByName, single).groupBy(_columns(order)[-1]).agg(F.sum("n").alias("n")))
     first = _first(now, words, order)
-    discard(now, *single)
+    discard(now, words, *single)
     found = []
     for piece in range(slices):
         known, rests = _higher(_counts(word_grams(good, order, slices, piece), order) if order > 1 else [], first, [discounts(c) for c in few], order)
-        found.append(cut(log_probabilities(word_grams(docs, order, slices, piece), known, rests, order, shard)))
+        found.append(log_probabilities(word_grams(docs, order, slices, piece), known, rests, order, shard))
         discard(*known[1:], *rests[1:])
     discard(first)
     out = cut(reduce(DataFrame.unionByName, found).groupBy("row").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
@@ -416,7 +416,9 @@ def log_probabilities(grams: DataFrame, known: list[DataFrame], rests: list[Data
             left = met.where("missed").join(_dealt(rests[k - 1], parts, own[:-1]), own[:-1], "left")
             now = cut(left.select("row", "own", *own[1:], (F.col("s") + rest).alias("s")))
         discard(met)
-    return reduce(DataFrame.unionByName, found).groupBy("row").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    out = cut(reduce(DataFrame.unionByName, found).groupBy("row").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    discard(*found)
+    return out
 
 
 def judge(
@@ -445,7 +447,6 @@ def judge(
         size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         slices = min(SLICES, 1 + size // SLICE)
     summed = sums(own.select("row", "own", "text"), words, order, shard, slices)
-    discard(words)
     # Repeated rows share their sums, which n evens out.
     scored = summed.select(F.col("row").alias("_row"), "n", F.exp(-F.col("s") / F.col("n")).alias("perplexity"))
     copies = own.groupBy("row").agg(F.count("*").alias("c"))
