@@ -190,3 +190,12 @@ def test_books_of_a_catalogue(spark, tmp_path):
     assert {r["sid"] for r in got.citations.collect()} == {"doe1999", "roe2001"}
     (row,) = got.examples.collect()
     assert row["language"] == "Somali" and [tuple(s) for s in row["sources"]] == [("doe1999", "3")] and row["abbreviations"] == {"PL": "plural"}
+
+
+def test_texts_of_one_piece_are_parsed_in_many_tasks(spark):
+    stored = spark.range(200).select(F.col("id").cast("string").alias("pub_id"), F.lit("f").alias("path"), F.lit(0).alias("file_ord"), F.lit(TEX).alias("text")).coalesce(1)
+    cited = books.citations(stored)
+    sizes = [r["count"] for r in cited.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200 * books.citations(stored.limit(1)).count() > 0
+    assert len(sizes) >= spark.sparkContext.defaultParallelism
+    assert max(sizes) < sum(sizes) / 4
