@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from scholium.session import dealt
+
 
 def cited_references(references: DataFrame, citations: DataFrame, on: list[str]) -> DataFrame:
     """References that are cited at least once."""
@@ -101,19 +103,16 @@ def merge_bibliography(entries: DataFrame, similar) -> DataFrame:
     order = W.partitionBy("key").orderBy("title_slug", "year", "author_slug", "_ord")
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
     before = F.last(F.when(F.col("_told"), F.struct("title", "year", "author_slug")), ignorenulls=True).over(earlier)
-    linked = blocks.withColumn("_before", before).withColumn(
-        "_joins",
-        F.coalesce(
-            F.col("_told") & (F.col("_before.year") == F.col("year")) & (F.col("_before.author_slug") == F.col("author_slug"))
-            & F.when((F.col("_before.title") != "") & (F.col("title") != ""), similar(F.col("_before.title"), F.col("title"))).otherwise(F.lit(False)),
-            F.lit(False),
-        ),
-    )
-    numbered = linked.withColumn("batch", F.sum((~F.col("_joins")).cast("int")).over(order)).withColumn(
-        "_place", F.row_number().over(order)
+    paired = (
+        F.col("_told") & (F.col("_before.year") == F.col("year")) & (F.col("_before.author_slug") == F.col("author_slug"))
+        & (F.col("_before.title") != "") & (F.col("title") != "")
     )
-    counted = numbered.groupBy("key").agg(F.max("batch").alias("_batches"))
-    numbered = numbered.join(counted, "key").select("key", "title_slug", "year", "author_slug", "_alone", "batch", "_place", "_batches")
+    # Titles are scored once, evenly over all cores; windows, of which a key is one task, only number rows.
+    columns = ["key", "title_slug", "year", "author_slug", "_alone", "_ord"]
+    neighbours = blocks.withColumn("_before", before).select(*columns, F.when(paired, F.col("_before.title")).alias("_a"), F.when(paired, F.col("title")).alias("_b"))
+    linked = dealt(neighbours).select(*columns, F.coalesce(similar(F.col("_a"), F.col("_b")), F.lit(False)).alias("_joins"))
+    numbered = linked.withColumn("batch", F.sum((~F.col("_joins")).cast("int")).over(order)).withColumn("_place", F.row_number().over(order))
+    numbered = numbered.withColumn("_batches", F.max("batch").over(W.partitionBy("key"))).drop("_ord", "_joins")
     on = ["title_slug", "year", "author_slug", "_alone"]
     placed = rows.drop("key").withColumn("_alone", block).join(numbered, on).withColumn(
         "merged_key", F.when(F.col("_batches") > 1, F.concat_ws(":", "key", F.col("batch").cast("string"))).otherwise(F.col("key"))

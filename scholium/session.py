@@ -1,4 +1,4 @@
-"""Makes the library importable on executors."""
+"""Makes the library importable on executors, and deals rows over their cores."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -28,3 +28,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(path)  # the driver serves it to the executors
     _shipped.add(context.applicationId)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows over three tasks for each core, evenly, however few or uneven the pieces they are stored in.
+
+    Small compressed files are one piece each, or one for each group of rows, while Python
+    takes far longer for their rows than reading does. Tasks stream, so their size doesn't matter.
+    """
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from scholium.session import dealt
+
 ENTRY = "pub_id string, path string, ord long, key string, genre string, fields map<string,string>"
 
 
@@ -32,15 +34,6 @@ def decode_udf(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else decoded(bytes(b)))
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """rows over three tasks for each core, evenly, however few or uneven the pieces they are stored in.
-
-    Small compressed files are one piece each, or one for each group of rows, while a parser
-    takes far longer for their rows than reading does. Tasks stream, so their size doesn't matter.
-    """
-    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)
-
-
 def exploded(rows: DataFrame, parse: Callable[[str], list[tuple]], schema: str, keep: list[str], text: str = "text") -> DataFrame:
     """Rows of ``keep``, ord and what parse gives for each text; texts that can't be parsed give none."""
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep]

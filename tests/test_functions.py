@@ -1,5 +1,7 @@
 """Parsers and plain functions on texts of our own."""
 
+import random
+
 import pytest
 
 from scholium.functions import align, bib, jats, tex
@@ -221,3 +223,19 @@ def test_all_field_names():
         assert bib.to_source("k", "book", {name: "v"}, str)[2] == ({target: "v"} if target else {}), name
         if target and target != name:
             assert bib.to_source("k", "book", {name: "v", target: "w"}, str)[2] == {target: "w"}, name
+
+
+def test_alike_is_similarity_at_a_threshold():
+    rng = random.Random(5)
+    say = lambda: "".join(rng.choice("abC é,") for _ in range(rng.randint(0, rng.choice((4, 30, 90)))))
+    found = []
+    for _ in range(3000):
+        a, threshold = say(), rng.choice((0, 50, 80, 92, 100))
+        words, letters = a.split(), list(a)
+        for _ in range(rng.randint(0, min(6, len(a)))):
+            letters[rng.randrange(len(a))] = rng.choice("abx ")
+        b = rng.choice((say(), "".join(letters), " ".join(rng.sample(words, len(words)))))
+        assert bib.alike(a, b, threshold) == (bib.similarity(a, b) >= threshold), (a, b, threshold)
+        assert bib.ratio(a, b) == bib.ratio(b, a)
+        found.append(bib.alike(a, b, threshold))
+    assert 300 < sum(found) < 2700

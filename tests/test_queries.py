@@ -2,9 +2,13 @@
 
 import random
 
+import pandas as pd
 import pytest
+from pyspark import AccumulatorParam, TaskContext
+from pyspark.sql import functions as F
 
 from scholium.functions import bib
+from scholium.operators import references
 from scholium.plans import queries
 from tests.compare import SF, same_rows
 
@@ -67,3 +71,31 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_merge_scores_a_pair_once_and_over_all_cores(spark):
+    """Entries of one key are one window, but their titles are compared in many tasks; those of other years not at all."""
+    scored = spark.sparkContext.accumulator(0)
+    tasks = spark.sparkContext.accumulator([], _Gathered())
+
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        scored.add(int((a.notna() & b.notna()).sum()))
+        tasks.add([TaskContext.get().partitionId()])
+        return pd.Series([False] * len(a))
+
+    name = F.format_string("%03d", F.col("id"))
+    entries = spark.range(300).select(
+        F.lit("k").alias("key"), name.alias("citekey"), F.lit("misc").alias("genre"), F.create_map(F.lit("title"), name).alias("fields"), name.alias("title"),
+        name.alias("title_slug"), F.when(F.col("id") < 200, "1999").otherwise(name).alias("year"), F.lit("a").alias("author_slug"), F.col("id").alias("ord"))
+    assert references.merge_bibliography(entries, similar).count() == 300
+    assert scored.value == 199
+    assert len(set(tasks.value)) >= spark.sparkContext.defaultParallelism
+
+
+class _Gathered(AccumulatorParam):
+    def zero(self, value):
+        return []
+
+    def addInPlace(self, a, b):
+        return a + b
