@@ -107,7 +107,7 @@ def merge_bibliography(entries: DataFrame, similar) -> DataFrame:
         F.col("_told") & (F.col("_before.year") == F.col("year")) & (F.col("_before.author_slug") == F.col("author_slug"))
         & (F.col("_before.title") != "") & (F.col("title") != "")
     )
-    # Titles are scored once, evenly over all cores; windows, of which a key is one task, only number rows.
+    # Titles are scored once, evenly over all cores; windows, of which a key is one task, only find neighbours and number rows.
     columns = ["key", "title_slug", "year", "author_slug", "_alone", "_ord"]
     neighbours = blocks.withColumn("_before", before).select(*columns, F.when(paired, F.col("_before.title")).alias("_a"), F.when(paired, F.col("title")).alias("_b"))
     linked = dealt(neighbours).select(*columns, F.coalesce(similar(F.col("_a"), F.col("_b")), F.lit(False)).alias("_joins"))
